@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 _SEPARATORS = re.compile("[^a-z0-9]+")
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
+_MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 def _unaccented() -> dict[int, str]:
@@ -24,13 +24,14 @@ def _unaccented() -> dict[int, str]:
 
 
 UNACCENTED = _unaccented()
-_TABLE = UNACCENTED | dict.fromkeys(c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))
 _FROM = "".join(chr(c) for c, b in UNACCENTED.items() if b.islower())
 _TO = "".join(b for b in UNACCENTED.values() if b.islower())
 
 
 def plain(text: str | None) -> str:
-    return (text or "").lower().translate(_TABLE)
+    """Lower case without accents."""
+    low = (text or "").lower()
+    return low if low.isascii() else _MARK.sub("", unicodedata.normalize("NFD", low))
 
 
 def words(text: str | None) -> list[str]:

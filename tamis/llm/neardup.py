@@ -173,19 +173,20 @@ def _meet(threshold: float):
     return meet
 
 
-def _signatures(columns: list[str]):
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(key: str, columns: list[str]):
+    def nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, _, sizes, ids, _ = _once(*pair_sets(_fields(batch, columns)))
-            if not len(sizes):
-                continue
-            starts = np.cumsum(sizes) - sizes
-            sig = np.empty((len(sizes), HASHES), np.uint8)
-            for i, seed in enumerate(_SEEDS):
-                sig[:, i] = np.minimum.reduceat((pairs ^ (seed >> np.uint64(3))) * seed, starts) >> np.uint64(24)
-            yield _batch([ids.view(np.int64), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
+            pairs, _, sizes = pair_sets(_fields(batch, columns))
+            ids = set_ids(pairs, sizes)
+            sig = np.zeros((len(sizes), HASHES), np.uint8)
+            some = sizes > 0
+            if some.any():
+                starts = (np.cumsum(sizes) - sizes)[some]
+                for i, seed in enumerate(_SEEDS):
+                    sig[some, i] = np.minimum.reduceat((pairs ^ (seed >> np.uint64(3))) * seed, starts) >> np.uint64(24)
+            yield _batch([batch.column(key), ids.view(np.int64), pa.array([s.tobytes() for s in sig], pa.binary())], [key, "id", "sig"])
 
-    return sign
+    return nodes
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
@@ -208,7 +209,7 @@ def _prune(threshold: float, tolerance: float):
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("a_sig", "b_sig"))
             alive = np.arange(len(a))
             matches = np.zeros(len(a), np.int64)
             for step, m in enumerate(least):
@@ -244,57 +245,36 @@ def _verify(columns: list[str], threshold: float):
     return verify
 
 
-def _named(columns: list[str], key: str):
-    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, _, sizes = pair_sets(_fields(batch, columns))
-            yield _batch([batch.column(key), set_ids(pairs, sizes).view(np.int64)], [key, "id"])
-
-    return named
+def record_nodes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, id, sig): each record's node, 0 for records without a word pair, and its MinHash bytes."""
+    return df.select(key, *columns).mapInArrow(_nodes(key, columns), f"{key} {dict(df.dtypes)[key]}, id bigint, sig binary")
 
 
-def _texts(columns: list[str]):
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *_, ids, kept = _once(*pair_sets(_fields(batch, columns)))
-            if len(kept):
-                take = batch.select(columns).take(pa.array(kept))
-                yield _batch([ids.view(np.int64), *take.columns], ["id", *columns])
-
-    return texts
-
-
-def similar_nodes(df: DataFrame, columns: list[str], threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs (a, b, similarity) of nodes, a < b; a node is a distinct set, named as in node_members()."""
+def similar_nodes(df: DataFrame, nodes: DataFrame, key: str, columns: list[str], threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """Pairs (a, b, similarity) of nodes, a < b; nodes: record_nodes() of the same records."""
     spark = df.sparkSession
     texts = df.select(*columns)
-    kinds = {c: t for c, t in texts.dtypes}
     levels = spark.sparkContext.broadcast(frequency_levels(df, columns))
     entries = texts.mapInArrow(_entries(columns, threshold, levels, SKETCH_BITS), "key bigint, id bigint, n int, pos int")
     candidates = entries.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_meet(threshold), "a bigint, b bigint").distinct()
-    signs = texts.mapInArrow(_signatures(columns), "id bigint, sig binary").groupBy("id").agg(F.first("sig").alias("sig"))
-    side = lambda t, c: t.select(F.col("id").alias(c), *(F.col(x).alias(f"s{c}" if x == "sig" else f"{c}_{x}") for x in t.columns if x != "id"))
-    both = candidates.join(side(signs, "a"), "a").join(side(signs, "b"), "b")
+    one = nodes.where("id != 0").groupBy("id").agg(F.min(F.struct(key, "sig")).alias("r")).select("id", f"r.{key}", "r.sig")
+    side = lambda t, c: t.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in t.columns if x != "id"))
+    both = candidates.join(side(one.select("id", "sig"), "a"), "a").join(side(one.select("id", "sig"), "b"), "b")
     left = materialize(both.mapInArrow(_prune(threshold, tolerance), "a bigint, b bigint"), "candidates")
     wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    whole = texts.mapInArrow(_texts(columns), "id bigint, " + ", ".join(f"{c} {kinds[c]}" for c in columns)).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    whole = materialize(whole, "texts")
+    chosen = one.select("id", F.col(key).alias("_chosen")).join(wanted, "id")
+    whole = materialize(df.select(key, *columns).join(chosen, F.col(key) == F.col("_chosen")).select("id", *columns).dropDuplicates(["id"]), "texts")
     ready = left.join(side(whole, "a"), "a").join(side(whole, "b"), "b")
     return ready.mapInArrow(_verify(columns, threshold), "a bigint, b bigint, similarity double")
 
 
-def node_members(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, id): the node of each record; 0 for records without a word pair."""
-    kind = dict(df.dtypes)[key]
-    return df.select(key, *columns).mapInArrow(_named(columns, key), f"{key} {kind}, id bigint")
-
-
 def similar_records(df: DataFrame, key: str, columns: list[str], threshold: float) -> DataFrame:
     """Pairs (a, b) of the keys of similar records, a < b, with copies expanded."""
-    members = materialize(node_members(df, key, columns).where("id != 0"), "members")
-    nodes = similar_nodes(df, columns, threshold).select("a", "b")
+    nodes = materialize(record_nodes(df, key, columns), "nodes")
+    members = nodes.where("id != 0").select(key, "id")
+    alike = similar_nodes(df, nodes, key, columns, threshold).select("a", "b")
     one, two = (members.select(F.col("id").alias(n), F.col(key).alias(f"k{n}")) for n in "ab")
-    apart = nodes.join(one, "a").join(two, "b").select("ka", "kb")
+    apart = alike.join(one, "a").join(two, "b").select("ka", "kb")
     crowded = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     copies = members.join(crowded, "id")
     same = copies.select("id", F.col(key).alias("ka")).join(copies.select("id", F.col(key).alias("kb")), "id").where("ka < kb").select("ka", "kb")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.neardup import node_members, similar_nodes, similar_records
+from tamis.llm.neardup import record_nodes, similar_nodes, similar_records
 from tamis.llm.splits import spanning_forest
 from tamis.session import materialize, table
 
@@ -20,8 +20,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record: its class of similar records and the number of its links, copies included."""
     records = table(spark, sf_dir, "d_retry_corrected")
-    members = materialize(node_members(records, "rec_id", FIELDS), "members")
-    nodes = materialize(similar_nodes(records, FIELDS, THRESHOLD), "nodes")
+    members = materialize(record_nodes(records, "rec_id", FIELDS), "nodes")
+    nodes = materialize(similar_nodes(records, members, "rec_id", FIELDS, THRESHOLD), "pairs")
     size = members.where("id != 0").groupBy("id").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first"))
     ends = nodes.select("a", "b").unionByName(nodes.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.join(size.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))

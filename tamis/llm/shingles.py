@@ -27,10 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and the index of each word's text."""
-    encoded = [plain(t).encode("ascii", "replace") for t in texts]
-    buf = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
-    if not len(encoded):
+    if not len(texts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    whole = "\1".join(t or "" for t in texts) + "\1"
+    if whole.count("\1") != len(texts):  # the mark occurs in a text, where it separates words
+        whole = "\1".join((t or "").replace("\1", " ") for t in texts) + "\1"
+    buf = np.frombuffer(plain(whole).encode("ascii", "replace"), np.uint8)
     inside = _CLASS[buf]
     starts = np.flatnonzero(np.diff(inside, prepend=np.uint8(0)) == 1)
     if not len(starts):
@@ -40,8 +42,7 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(at)) - np.repeat(lengths_before, np.diff(np.append(lengths_before, len(at))))
     h = np.add.reduceat(buf[at].astype(np.uint64) * _POWERS[place & 4095], lengths_before)
     n = np.diff(np.append(lengths_before, len(at))).astype(np.uint64)
-    ends = np.cumsum([len(e) + 1 for e in encoded])
-    return mix(h + n * _MULT), np.searchsorted(ends, starts, side="right")
+    return mix(h + n * _MULT), np.searchsorted(np.flatnonzero(buf == 1), starts, side="right")
 
 
 def pair_sets(fields: Sequence[Sequence[str | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

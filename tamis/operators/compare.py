@@ -13,6 +13,7 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 MOST_COLUMNS = 6
 
@@ -65,7 +66,7 @@ def _columns_match(a: list, b: list, ordered: bool) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def columns_permuted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether some order of at most six columns makes the predicted rows equal the gold ones (X7)."""
     for a, b, ordered in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.session import materialize
+
 
 def rate(flag: Column) -> Column:
     """The share of true rows, nulls counting as false; 0 for no rows (AGG4)."""
@@ -54,12 +56,14 @@ def length_batches(df: DataFrame, length: str, size: int, *order: str, by_length
 def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Adds position, 1 for the first row in a total order, without bringing all rows to one task.
 
-    Rows are range-partitioned by the order; each partition numbers its own and adds the counts of those before it.
+    Rows are range-partitioned by the order; each partition numbers its own and adds the counts of those before it. The
+    numbered parts are written once, since a range partitioning computed twice need not cut at the same places.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     d = df.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
     d = d.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_p", F.spark_partition_id())
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*names)))
+    d = materialize(d, "ranked")
     counts = d.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return d.join(before.select("_p", "_before"), "_p").withColumn("position", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before", *names)

@@ -153,6 +153,11 @@ def _as_object(v: Column, node: Node) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v).otherwise(F.try_parse_json(F.try_variant_get(v, "$", "string")))
 
 
+def _plain_text(v: Column, node: Node) -> Column:
+    """The text of a value that is neither an object nor JSON of one."""
+    return F.when(~F.coalesce(F.schema_of_variant(_as_object(v, node)).startswith("OBJECT"), F.lit(False)), F.try_variant_get(v, "$", "string"))
+
+
 def _as_list(v: Column) -> Column:
     one = F.when(v.isNotNull() & ~F.is_variant_null(v), F.array(v))
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), one)
@@ -197,8 +202,7 @@ class NestedRecords:
                 return F.lit(None).cast(kind or "string")
             at, names = below, [*names, step]
         if kind is None and at.is_object:
-            inner = _get(v, names, "variant")
-            return F.when(~F.schema_of_variant(inner).startswith("OBJECT"), F.try_variant_get(inner, "$", "string"))
+            return _plain_text(_get(v, names, "variant"), at)
         return _get(v, names, kind or at.sql_type)
 
     def explode(self, df: DataFrame, level: Node, *paths: Iterable[str], outer: bool = False, ordinal: str = "_ordinal") -> DataFrame:
@@ -244,7 +248,7 @@ class NestedRecords:
             if not level.is_object and set(level.kinds) - {"object", "null"} and not level.is_list:
                 value = [_get(F.col("_v"), (), level.sql_type).alias("value")]
             elif level.is_object and set(level.kinds) - {"object", "null"}:
-                value = [F.when(~F.schema_of_variant("_v").startswith("OBJECT"), F.try_variant_get(F.col("_v"), "$", "string")).alias("value")]
+                value = [_plain_text(F.col("_v"), level).alias("value")]
             else:
                 value = []
             keys = ["_key", "_id"] + [c for c in ("_parent", "_ordinal") if c in rows.columns]

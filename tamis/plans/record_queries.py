@@ -98,7 +98,7 @@ def prj04_prompt_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts without the gold statement."""
     d = _recs(spark, sf_dir).select("rec_id", "db_id", "question", "sql").join(table(spark, sf_dir, "db_catalogue").select("db_id", "schema"), "db_id")
     m = d.select("rec_id", "sql", F.slice(R.chat_record("Tu écris du SQL.", F.col("question"), F.col("schema"), F.col("sql")), 1, 2).alias("m"))
-    return R.require(m, F.size("m") == 2, "a prompt has two messages").select("rec_id", F.size("m").alias("n"), F.exists("m", lambda x: x["content"] == F.col("sql")).alias("leaks"))
+    return R.require(m, F.size("m") == 2, "a prompt has two messages").select("rec_id", F.size("m").alias("n"), F.coalesce(F.exists("m", lambda x: x["content"] == F.col("sql")), F.lit(False)).alias("leaks"))
 
 
 @query("prj05_few_shot_messages", "SELECT rec_id, 7::INT AS n, 'system,user,assistant,user,assistant,user,assistant' AS roles FROM d_retry_corrected r JOIN db_catalogue c ON r.db_id = c.db_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.shingles import mix, pair_sets, set_ids
+from tamis.llm.shingles import mix, pair_sets, set_ids, sliced
 from tamis.session import materialize
 
 SKETCH_BITS = 24
@@ -59,7 +59,7 @@ def _once(pairs: np.ndarray, record: np.ndarray, sizes: np.ndarray) -> tuple[np.
 def _sketch(columns: list[str], bits: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = _once(*pair_sets(_fields(batch, columns)))[0]
             np.add.at(counts, (pairs >> np.uint64(64 - bits)).astype(np.int64), 1)
         for block in np.flatnonzero(counts.reshape(-1, 1 << BLOCK_BITS).any(axis=1)):
@@ -96,7 +96,7 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 def _entries(columns: list[str], threshold: float, levels, bits: int):
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
-        for batch in batches:
+        for batch in sliced(batches):
             pairs, record, sizes, ids, _ = _once(*pair_sets(_fields(batch, columns)))
             if not len(sizes):
                 continue
@@ -112,15 +112,16 @@ def _entries(columns: list[str], threshold: float, levels, bits: int):
             blocks = np.maximum(1, np.ceil(2.0 ** (level / 6.0) / HOT)).astype(np.int64)
             plain_rows = blocks == 1
             key, who, size, pos = [pairs[plain_rows]], [ids[record[plain_rows]]], [n[plain_rows]], [place[plain_rows]]
-            for k in np.flatnonzero(~plain_rows):  # each entry of a hot list goes to the blocks its part shares with every part
-                g = int(blocks[k])
-                own = int(ids[record[k]] >> np.uint64(7)) % g
-                others = np.arange(g)
-                cell = (np.minimum(own, others) * g + np.maximum(own, others) + 1).astype(np.uint64)
-                key.append(mix(pairs[k] + cell * np.uint64(0x9E3779B97F4A7C15)))
-                who.append(np.full(g, ids[record[k]]))
-                size.append(np.full(g, n[k]))
-                pos.append(np.full(g, place[k]))
+            if (hot := np.flatnonzero(~plain_rows)).size:  # an entry of a hot list goes to each block its part shares with another part
+                g = np.repeat(blocks[hot], blocks[hot])
+                row = np.repeat(hot, blocks[hot])
+                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks[hot]) - blocks[hot], blocks[hot])
+                own = (ids[record[row]] >> np.uint64(7)).astype(np.int64) % g
+                cell = (np.minimum(own, other) * g + np.maximum(own, other) + 1).astype(np.uint64)
+                key.append(mix(pairs[row] + cell * np.uint64(0x9E3779B97F4A7C15)))
+                who.append(ids[record[row]])
+                size.append(n[row])
+                pos.append(place[row])
             yield _batch([np.concatenate(key).view(np.int64), np.concatenate(who).view(np.int64), np.concatenate(size).astype(np.int32), np.concatenate(pos).astype(np.int32)], ["key", "id", "n", "pos"])
 
     return entries
@@ -175,7 +176,7 @@ def _meet(threshold: float):
 
 def _nodes(key: str, columns: list[str]):
     def nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             pairs, _, sizes = pair_sets(_fields(batch, columns))
             ids = set_ids(pairs, sizes)
             sig = np.zeros((len(sizes), HASHES), np.uint8)
@@ -226,7 +227,7 @@ def _prune(threshold: float, tolerance: float):
 
 def _verify(columns: list[str], threshold: float):
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.num_rows
             if not rows:
                 continue

@@ -83,7 +83,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
     """Local search over the underfull bins; each accepted step increases the sum of squared fills."""
-    size = sizes.tolist()
+    size, bins = sizes.tolist(), list(bins)
     fill = [sum(size[i] for i in b) for b in bins]
     for _ in range(passes):
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < FULL * capacity), key=lambda b: fill[b])

@@ -5,9 +5,10 @@ A word is hashed as a polynomial of its bytes, mixed to 64 bits; the hashes are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 from tamis.functions.words import plain
 
@@ -18,6 +19,15 @@ _POWERS = np.ones(4096, np.uint64)
 _POWERS[1:] = np.multiply.accumulate(np.full(4095, 0xD1342543DE82EF95, np.uint64))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about at most so many bytes, since numpy needs tens of bytes a character."""
+    for batch in batches:
+        parts = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
+        step = -(-batch.num_rows // parts)
+        for i in range(0, batch.num_rows, max(1, step)):
+            yield batch.slice(i, step)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

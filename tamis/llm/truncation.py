@@ -248,6 +248,8 @@ def statement_end(text: str) -> str:
     if "```" in last[: m.start()]:
         return "open"
     state = open_state(sql, frozenset(), frozenset())
+    if state == "fromend":  # a table may end a statement, or stand before its conditions
+        return "closed" if sql.endswith(";") else ""
     return "open" if state not in ("whole", "number") else "closed" if sql.endswith(";") else "whole"
 
 

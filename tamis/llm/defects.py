@@ -35,6 +35,7 @@ _REFUSALS = [
     "Désolé, je ne peux pas répondre à cette demande.", "Je regrette, mais il est impossible d'écrire cette requête sans plus de détails sur {v}.", "Malheureusement, je dois refuser : {t} est protégée (dossier {v}).",
     "Aucune réponse ne sera fournie pour {t} !", "En l'état, je préfère m'abstenir et ne pas générer de SQL.", "Cette demande ne peut pas aboutir.", "Je ne suis pas en mesure de traiter {t}",
     "Sorry, I cannot help with this request.", "I'm unable to write SQL about {v}; please rephrase.", "Unfortunately, no query will be given as {t} is private.", "I must decline", "I apologize, but I won't answer this because {v} looks odd.",
+    "Aucune suite ne sera donnée à cette demande : le schéma de {t} est incomplet (dossier {v}).", "Navré, aucune réponse n'est possible : {t} ne suffit pas.", "Regrettably, I can't do this; please tell more about {v}.", "Je préfère ne pas répondre ici : la valeur {v} pose problème.",
     "Lo siento, no puedo responder a esta pregunta.", "Por desgracia, debo rechazar la petición sobre {t}.", "Leider kann ich diese Anfrage nicht beantworten.", "Mi dispiace, non posso scrivere questa query su {t}.",
 ]
 _PROSE = [
@@ -46,6 +47,14 @@ _PROSE = [
     "SELECCIONAR {c} DE {t} DONDE {c2} > {n} Y {c} = '{v}'", "SÉLECTIONNER COMPTE(*) DEPUIS {t} OÙ {c} = '{v}' ET {c2} <= {n}", "WÄHLE {c} AUS {t} WOBEI {c2} < {n} UND {c} = '{v}'", "SCEGLI {c} DA {t} DOVE {c2} < {n}",
     "{t} |> filter({c} == \"{v}\") |> select({c2})", "//{t}[@{c}='{v}']/{c2}", "g.V().hasLabel('{t}').has('{c}', '{v}').values('{c2}')",
 ]
+# SQL's keywords as translations write them.
+_TONGUES = [
+    {"select": "SELECCIONAR", "count": "CONTAR", "from": "DE", "where": "DONDE", "and": "Y", "join": "UNIR", "on": "SOBRE", "as": "COMO", "order by": "ORDENAR POR", "group by": "AGRUPAR POR", "between": "ENTRE", "not in": "NO EN"},
+    {"select": "SÉLECTIONNER", "count": "COMPTE", "from": "DEPUIS", "where": "OÙ", "and": "ET", "join": "JOINDRE", "on": "SUR", "as": "COMME", "order by": "TRIER PAR", "group by": "GROUPER PAR", "between": "ENTRE", "not in": "PAS DANS"},
+    {"select": "WÄHLE", "count": "ANZAHL", "from": "AUS", "where": "WOBEI", "and": "UND", "join": "VERBINDE", "on": "AUF", "as": "ALS", "order by": "SORTIERT NACH", "group by": "GRUPPIERT NACH", "between": "ZWISCHEN", "not in": "NICHT IN"},
+    {"select": "SELEZIONA", "count": "CONTA", "from": "DA", "where": "DOVE", "and": "E", "join": "UNISCI", "on": "SU", "as": "COME", "order by": "ORDINA PER", "group by": "RAGGRUPPA PER", "between": "TRA", "not in": "NON IN"},
+]
+_SQL_KEYS = re.compile(r"(?i)\b(" + "|".join(_TONGUES[0]) + r")\b")
 _SPARE = ("SELECT a FROM t WHERE b > 10", "Donne a de t où b dépasse 10 ?", "CREATE TABLE t (a TEXT, b INTEGER)")
 
 
@@ -57,6 +66,10 @@ def _made(question: str, sql: str, schema: str, h: int) -> Iterator[tuple[str, i
     yield [refusal, f"-- {refusal}", f"/* {refusal} */\nSELECT NULL", f"SELECT '{refusal.replace(chr(39), chr(39) * 2)}'"][(h >> 5) % 4], REFUSAL
     yield _PROSE[(h >> 2) % len(_PROSE)].format(**fill), FOREIGN
     yield _PROSE[(h >> 7) % len(_PROSE)].format(**fill), FOREIGN
+    tongue = _TONGUES[(h >> 6) % len(_TONGUES)]
+    few = {k: tongue[k] for i, k in enumerate(tongue) if i < 5 or (h >> i) & 1}  # a translation may keep some keywords
+    translated = _SQL_KEYS.sub(lambda m: few.get(m[1].lower(), m[1]), sql)
+    yield translated.lower() if (h >> 8) % 8 == 0 else translated, FOREIGN
     yield [question, f"-- {question}", plain(question), question.upper(), f"Question : {question}"][(h >> 3) % 5], ECHO
     cut = 8 + h % max(1, len(sql) - 9)
     tail = ["", "", "", "...", " [...]", "…"][(h >> 9) % 6]

@@ -77,8 +77,8 @@ def entity_groups(records: DataFrame, entity: str, question: str) -> DataFrame:
 
 def grouped_records(records: DataFrame, entity: str, question: str) -> DataFrame:
     """The records with the column group_db."""
-    groups = entity_groups(records, entity, question).withColumnRenamed("entity", "_entity")
-    return records.join(groups, F.col(entity) == F.col("_entity"), "left").withColumn("group_db", F.coalesce("group", entity)).drop("group", "_entity")
+    groups = entity_groups(records, entity, question).select(F.col("entity").alias("_entity"), F.col("group").alias("_group"))
+    return records.join(groups, F.col(entity) == F.col("_entity"), "left").withColumn("group_db", F.coalesce("_group", entity, F.lit(""))).drop("_group", "_entity")
 
 
 def deal_groups(sizes: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:

@@ -61,6 +61,57 @@ def execute_sqlite(queries: DataFrame, path_of: Callable[[str], str], timeout: f
     return queries.select("db_id", "sql").distinct().mapInArrow(run, RESULT)
 
 
+# The reasons for which a statement is refused.
+REASONS = ("sql_not_read_only", "database_missing", "sql_execution_timeout", "sql_execution_error", "spider_parse_error")
+
+
+def check_statements(df: DataFrame, key: str, sql: str, ddl: str, timeout: float = TIMEOUT_S) -> DataFrame:
+    """(key, reason, hardness): whether a statement runs on an empty database of its DDL and the grammar takes it (X2).
+
+    A database is built in memory once a process and DDL text, and a statement only fetches one row.
+    """
+    from tamis.functions.sqlparse import catalog_of, classify
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, tuple[sqlite3.Connection | None, dict]] = {}
+
+        def check(statement: str | None, schema: str | None) -> tuple[str | None, str | None]:
+            if not re.match(r"(?i)\s*(select|with)\b", statement or ""):
+                return REASONS[0], None
+            if schema not in known:
+                if len(known) > 1000:
+                    for db, _ in known.values():
+                        if db:
+                            db.close()
+                    known.clear()
+                db = None
+                if schema and schema.strip():
+                    db = sqlite3.connect(":memory:")
+                    try:
+                        db.executescript(schema)
+                        db.execute("PRAGMA query_only = ON")
+                    except sqlite3.Error:
+                        db = None
+                known[schema] = db, catalog_of(schema)
+            db, catalog = known[schema]
+            if db is None:
+                return REASONS[1], None
+            until = time.monotonic() + timeout
+            db.set_progress_handler(lambda: time.monotonic() > until, 10_000)
+            try:
+                db.execute(statement).fetchmany(1)
+            except (sqlite3.Error, sqlite3.Warning) as e:
+                return REASONS[2 if "interrupt" in str(e).lower() else 3], None
+            level, fault = classify(statement, catalog)
+            return (REASONS[4], None) if fault else (None, level)
+
+        for batch in batches:
+            got = [check(s, d) for s, d in zip(batch.column(sql).to_pylist(), batch.column(ddl).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [key, "reason", "hardness"])
+
+    return df.select(key, sql, ddl).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, reason string, hardness string")
+
+
 def execute_spark(spark: SparkSession, statements: list[tuple[str, str]], timeout: float = 60.0, most_rows: int = 10_000) -> DataFrame:
     """Runs a bounded list of (db_id, sql) over the session's views, each in a job group that a timer cancels.
 
@@ -91,8 +142,11 @@ def execute_spark(spark: SparkSession, statements: list[tuple[str, str]], timeou
     return spark.createDataFrame(out, RESULT)
 
 
-def score(predictions: DataFrame, gold: DataFrame, results: DataFrame) -> DataFrame:
-    """One row an example: exact, strict, bag and syntax flags (X8, X9). predictions: id, db_id, sql; gold: id, sql."""
+def score(predictions: DataFrame, gold: DataFrame, results: DataFrame, strict_gold: bool = False) -> DataFrame:
+    """One row an example: exact, strict, bag and syntax flags (X8, X9). predictions: id, db_id, sql; gold: id, sql.
+
+    With strict_gold a gold statement that fails raises (X10).
+    """
     from tamis.functions.sqltext import has_order_by, is_syntax_error, normalize_sql
     from tamis.operators.compare import bags_equal, columns_permuted, strictly_equal
 
@@ -103,6 +157,8 @@ def score(predictions: DataFrame, gold: DataFrame, results: DataFrame) -> DataFr
     ran = F.coalesce("ok", F.lit(False)) & F.coalesce("gold_ok", F.lit(False))
     strict = ran & strictly_equal(F.col("rows"), F.col("gold_rows"))
     bag = strict | (ran & bags_equal(F.col("rows"), F.col("gold_rows"), ordered))
+    if strict_gold and (bad := joined.where(~F.coalesce("gold_ok", F.lit(False))).select("id").take(3)):
+        raise ValueError(f"gold statements fail: {bad}")
     d = joined.select(
         "id", "db_id", F.coalesce("gold_ok", F.lit(False)).alias("gold_ok"), (F.lower(normalize_sql(F.col("sql"))) == F.lower(normalize_sql(F.col("gold_sql")))).alias("exact_match"),
         F.coalesce("ok", F.lit(False)).alias("executed"), (~is_syntax_error(F.col("error"))).alias("syntax_valid"), "error",

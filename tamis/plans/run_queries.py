@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.sqltext import clean_sql
 from tamis.operators import metrics as M
-from tamis.operators.execute import execute_spark, score
+from tamis.operators.execute import check_statements, execute_spark, score
 from tamis.operators.stats import mcnemar, paired
 from tamis.session import materialize, table
 from tamis.streaming import telemetry
@@ -63,6 +63,12 @@ def x20_paired_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(both, F.col("base"), F.col("candidate"))
 
 
+def x02_light_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each record's cleaned statement runs on an empty database of its schema, and its hardness."""
+    d = table(spark, sf_dir, "d_retry_corrected").select("rec_id", clean_sql(F.col("sql")).alias("statement"), "schema")
+    return check_statements(d, "rec_id", "statement", "schema")
+
+
 def st1_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly events of each type, as a stream of files run to its end."""
     events = telemetry.read_parquet_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -78,6 +84,7 @@ def st1_stateful_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "x02_light_check": x02_light_check,
     "x08_scored_examples": x08_scored_examples, "x12_score_report": x12_score_report, "x13_run_comparison": x13_run_comparison, "x20_paired_total": x20_paired_total,
     "st1_window_counts": st1_window_counts, "st1_stateful_deltas": st1_stateful_deltas,
 }

@@ -210,3 +210,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["fn21_json_fields"] = _events
 ORACLE["fn21_json_fields"] = "SELECT event_id, (props->>'$.k')::BIGINT AS k, array_to_string(json_keys(props), ',') AS keys FROM events"
+
+
+def _json_or_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is JSON in some rows and plain text in others."""
+    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("k="), F.get_json_object("props", "$.k")))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json(text, "k bigint")["k"], F.regexp_extract(text, "k=([0-9]+)", 1).cast("bigint")).alias("k"))
+
+
+QUERIES["fn22_json_or_text"] = _json_or_text
+ORACLE["fn22_json_or_text"] = "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events"

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators.compare import _columns_match, bags_equal, cell, strictly_equal
-from tamis.operators.execute import execute_sqlite, run_sqlite, score
+from tamis.operators.execute import check_statements, execute_sqlite, run_sqlite, score
 from tamis.sources import jsonl, sinks
+from tamis.sources.gpu import gpu_stats
 from tamis.sources.sqlite import SqliteSource, inspect, sample_text
 
 
@@ -88,3 +89,20 @@ def test_json_files(spark, tmp_path):
     assert jsonl.read_jsonl(spark, out, "a string").count() == 4
     assert sinks.fingerprints(spark, out).where("length(sha256) = 64").count() >= 2
     assert '"n" : 2' in sinks.manifest(df.agg(F.count("*").alias("n"))) and sinks.report(df).count("|") > 6
+
+
+def test_light_check_and_gold(spark, database):
+    ddl = "CREATE TABLE t (a INT, b TEXT);"
+    rows = [(1, "SELECT a FROM t", ddl), (2, "DELETE FROM t", ddl), (3, "SELECT z FROM t", ddl), (4, "SELECT a FROM t WHERE a IN (1, 2)", ddl), (5, "SELECT a FROM t", None), (6, None, ddl), (7, "SELECT a FROM t", "no ddl")]
+    got = {r["k"]: (r["reason"], r["hardness"]) for r in check_statements(spark.createDataFrame(rows, "k int, s string, d string"), "k", "s", "d").collect()}
+    assert got == {1: (None, "easy"), 2: ("sql_not_read_only", None), 3: ("sql_execution_error", None), 4: ("spider_parse_error", None), 5: ("database_missing", None), 6: ("sql_not_read_only", None), 7: ("database_missing", None)}
+    p = spark.createDataFrame([("1", "d", "SELECT id FROM t0")], "id string, db_id string, sql string")
+    g = spark.createDataFrame([("1", "SELECT z FROM t0")], "id string, sql string")
+    with pytest.raises(ValueError, match="gold"):
+        score(p, g, execute_sqlite(p.union(g.select("id", F.lit("d"), "sql")), lambda _: database), strict_gold=True)
+
+
+def test_gpu_lines(spark):
+    df = spark.createDataFrame([("a", "12 %, 300.5 W, [N/A]"), ("b", "7"), ("c", None)], "host string, line string")
+    got = {r["host"]: (r["load"], r["watts"], r["temp"]) for r in gpu_stats(df, "line", ["load", "watts", "temp"]).collect()}
+    assert got == {"a": (12.0, 300.5, None), "b": (7.0, None, None), "c": (None, None, None)}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tamis.llm.truncation import _windows, cut_texts, shown, statement_end, stripped
+from tamis.llm.truncation import _prefix_sums, _window_hashes, cut_texts, shown, statement_end, stripped
 
 SAY = ["Le score passe de {n} à {n} points quand le schéma est raccourci.", "La méthode retenue compare les résultats sans tenir compte de l'ordre.", "Parmi les {n} prédictions, {n} ne commencent pas par une instruction de lecture.", "Le quota de {n} exemples par base laisse de côté les niveaux rares.", "Les doublons ont été retirés en gardant la ligne la plus récente."]
 END = ["", "", "", "\n\nTotal : {n}", "\n\n- {n} lignes gardées\n- table vérifiée", "\n\nCordialement,\nle pôle Dupont", "\n\nSELECT a FROM t WHERE b > {n};", " Et ainsi de suite...", "\n\n[fin]"]
@@ -52,7 +52,7 @@ def test_marks_and_statements():
 @pytest.mark.parametrize("n", [2, 7])
 def test_windows_name_what_they_hold(n):
     buf = np.frombuffer(b"abcabcabdabcx" * 3, np.uint8)
-    h = _windows(buf, n)
+    h = _window_hashes(_prefix_sums(buf), np.arange(len(buf)), n)
     by = {}
     for i in range(n - 1, len(buf)):
         assert by.setdefault(bytes(buf[i - n + 1 : i + 1]), h[i]) == h[i]

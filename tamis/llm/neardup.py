@@ -61,7 +61,7 @@ def _sketch(columns: list[str], bits: int):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in sliced(batches):
             pairs = _once(*pair_sets(_fields(batch, columns)))[0]
-            np.add.at(counts, (pairs >> np.uint64(64 - bits)).astype(np.int64), 1)
+            np.add.at(counts, (pairs >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))  # a typed one is many times faster
         for block in np.flatnonzero(counts.reshape(-1, 1 << BLOCK_BITS).any(axis=1)):
             yield _batch([pa.array([block], pa.int32()), pa.array([zlib.compress(counts[block << BLOCK_BITS : (block + 1) << BLOCK_BITS].tobytes(), 1)])], ["block", "counts"])
 

@@ -34,7 +34,7 @@ _SQL = {
     "g12_like": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%e%' AND NOT p_type ILIKE '%brass%'",
     "g13_in_subquery": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)",
     "g13_not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 AND o_custkey IS NOT NULL)",
-    "g14_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.1 FROM part)",
+    "g14_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)",
     "g15_literals": "SELECT o_orderkey FROM orders WHERE o_totalprice >= 250000.5 AND o_orderpriority = '1-URGENT' AND o_custkey = o_custkey",
     "g16_group_by": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus",
     "g16_bare_column": "SELECT o_custkey, min(o_orderstatus) AS any_status, count(*) AS n FROM orders GROUP BY o_custkey",

@@ -80,7 +80,7 @@ def st1_stateful_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas between the events of each user, with the last one kept as state."""
     events = telemetry.read_parquet_stream(spark, f"{sf_dir}/events.parquet")
     logs = events.select(F.col("user_id").alias("part"), F.col("event_id").alias("step"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
-    return telemetry.run_once(telemetry.log_deltas(logs), "append")
+    return telemetry.run_once(telemetry.log_deltas(logs), "append").withColumn("d_seconds", F.round("d_seconds", 3))
 
 
 QUERIES = {
@@ -104,5 +104,7 @@ ORACLE = {
     "x12_score_report": "SELECT * FROM (VALUES ('a', 9, 2, 3, 4, 5, 6, 1, 1), ('b', 9, 6, 6, 7, 8, 9, 0, 0)) t(run, examples, exact, strict, bag, permuted, executed, syntax_errors, missing_columns)",
     "x13_run_comparison": "SELECT level, n, base, candidate, gained, lost, p::DOUBLE AS p FROM (VALUES ('easy', 3, 3, 3, 0, 0, 1.0), ('medium', 2, 1, 1, 1, 1, 1.0), ('hard', 2, 1, 2, 1, 0, 1.0), ('extra', 2, 0, 2, 2, 0, 0.5), ('total', 9, 5, 8, 4, 1, 0.375)) t(level, n, base, candidate, gained, lost, p)",
     "x20_paired_total": "SELECT 9 AS n, 4 AS gained, 1 AS lost, 100.0 * 3 / 9 AS delta_points",
+    "st1_stateful_deltas": """WITH d AS (SELECT user_id AS part, event_id AS step, event_id - lag(event_id) OVER w AS d_step, epoch(ts) - lag(epoch(ts)) OVER w AS d_seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT part, step, d_step, round(d_seconds, 3) AS d_seconds FROM d WHERE d_seconds > 0""",
     "st1_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -246,14 +246,23 @@ def _verify(columns: list[str], threshold: float):
     return verify
 
 
+def _renamed(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The key as rec and the texts as t0, t1 and so on, so that no name of the table can clash with the steps'."""
+    names = [f"t{i}" for i in range(len(columns))]
+    return df.select(F.col(key).alias("rec"), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))), names
+
+
 def record_nodes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, id, sig): each record's node, 0 for records without a word pair, and its MinHash bytes."""
-    return df.select(key, *columns).mapInArrow(_nodes(key, columns), f"{key} {dict(df.dtypes)[key]}, id bigint, sig binary")
+    """(rec, id, sig): each record's key and node, 0 for records without a word pair, and its MinHash bytes."""
+    d, names = _renamed(df, key, columns)
+    return d.mapInArrow(_nodes("rec", names), f"rec {dict(d.dtypes)['rec']}, id bigint, sig binary")
 
 
 def similar_nodes(df: DataFrame, nodes: DataFrame, key: str, columns: list[str], threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
     """Pairs (a, b, similarity) of nodes, a < b; nodes: record_nodes() of the same records."""
     spark = df.sparkSession
+    df, columns = _renamed(df, key, columns)
+    key = "rec"
     texts = df.select(*columns)
     levels = spark.sparkContext.broadcast(frequency_levels(df, columns))
     entries = texts.mapInArrow(_entries(columns, threshold, levels, SKETCH_BITS), "key bigint, id bigint, n int, pos int")
@@ -272,11 +281,11 @@ def similar_nodes(df: DataFrame, nodes: DataFrame, key: str, columns: list[str],
 def similar_records(df: DataFrame, key: str, columns: list[str], threshold: float) -> DataFrame:
     """Pairs (a, b) of the keys of similar records, a < b, with copies expanded."""
     nodes = materialize(record_nodes(df, key, columns), "nodes")
-    members = nodes.where("id != 0").select(key, "id")
+    members = nodes.where("id != 0").select("rec", "id")
     alike = similar_nodes(df, nodes, key, columns, threshold).select("a", "b")
-    one, two = (members.select(F.col("id").alias(n), F.col(key).alias(f"k{n}")) for n in "ab")
+    one, two = (members.select(F.col("id").alias(n), F.col("rec").alias(f"k{n}")) for n in "ab")
     apart = alike.join(one, "a").join(two, "b").select("ka", "kb")
     crowded = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     copies = members.join(crowded, "id")
-    same = copies.select("id", F.col(key).alias("ka")).join(copies.select("id", F.col(key).alias("kb")), "id").where("ka < kb").select("ka", "kb")
+    same = copies.select("id", F.col("rec").alias("ka")).join(copies.select("id", F.col("rec").alias("kb")), "id").where("ka < kb").select("ka", "kb")
     return apart.unionByName(same).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))

@@ -22,14 +22,14 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "d_retry_corrected")
     members = materialize(record_nodes(records, "rec_id", FIELDS), "nodes")
     nodes = materialize(similar_nodes(records, members, "rec_id", FIELDS, THRESHOLD), "pairs")
-    size = members.where("id != 0").groupBy("id").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first"))
+    size = members.where("id != 0").groupBy("id").agg(F.count("*").alias("copies"), F.min("rec").alias("first"))
     ends = nodes.select("a", "b").unionByName(nodes.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.join(size.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
     _, labels = spanning_forest(nodes.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).cast("bigint").alias("w")))
     of = size.join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     name = of.groupBy("root").agg(F.min("first").alias("class_id"))
     told = of.join(name, "root").select("id", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return members.join(told, "id", "left").select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return members.join(told, "id", "left").select(F.col("rec").alias("rec_id"), F.coalesce("class_id", "rec").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}

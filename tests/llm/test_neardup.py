@@ -52,6 +52,11 @@ def test_copies_are_one_node(spark):
     assert nodes.select("id").distinct().count() == 2 and similar_nodes(df, nodes, "k", ["a", "b"], 0.5).count() == 1
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 0), (2, "a b c d", "y", 0)], "id bigint, sig string, b string, rec int")
+    assert [tuple(r) for r in similar_records(df, "id", ["sig", "b"], 0.5).collect()] == [(1, 2)]
+
+
 def test_empty(spark):
     assert similar_records(spark.createDataFrame([], "k bigint, a string, b string"), "k", ["a", "b"], 0.65).count() == 0
 

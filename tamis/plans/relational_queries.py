@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tamis.operators.metrics import ranked
 from tamis.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings d_retry_corrected batch_responses request_meta db_catalogue seed_plan heldout_items sample_targets run_params".split()
@@ -55,5 +57,11 @@ def _query(sql: str):
     return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
 
 
-QUERIES = {name: _query(sql) for name, sql in _SQL.items()}
+def _order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted rows with their places, numbered without one task for all rows."""
+    d = table(spark, sf_dir, "supplier").select("s_name", "s_acctbal")
+    return ranked(d, [-F.col("s_acctbal"), F.col("s_name")]).withColumnRenamed("position", "place").orderBy("place")
+
+
+QUERIES = {name: _query(sql) for name, sql in _SQL.items()} | {"g18_order_by": _order_by}
 ORACLE = dict(_SQL)

@@ -66,16 +66,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table of materialize() that no later step reads."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        root = f.rpartition("/")[0]
-        for entry in list(_written):
-            if root.endswith(entry[1].removeprefix("file://").removeprefix("file:").rstrip("/")):
-                _written.remove(entry)
-                _delete(spark, entry[1])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -245,12 +245,13 @@ def statement_end(text: str) -> str:
     """'open' or 'whole' if the text's last paragraph is a statement, 'closed' if it is marked as ended, else ''."""
     last = stripped(text).rpartition("\n\n")[2]
     m = _STATEMENT.search(last)
-    if m is None or (m.start() and last[: m.start()].rstrip()[-1:] not in ":`lL("):
+    before = last[: m.start()].rstrip() if m else ""
+    if m is None or (before and not before.lower().endswith((":", "`", "(", "```sql"))):
         return ""
     sql = m[0].rstrip()
     if sql.endswith("```"):
         return "closed"
-    if "```" in last[: m.start()]:
+    if "```" in before:
         return "open"
     state = open_state(sql, frozenset(), frozenset())
     if state == "fromend":  # a table may end a statement, or stand before its conditions

@@ -1,15 +1,17 @@
 """A sample whose categories follow given proportions, from mergeable reservoirs.
 
-Each wanted category keeps the records with the smallest hashes of their identity, as many as the largest quota it can
-get: a reservoir that merges by keeping the smallest of both, so one pass over each partition and a tree of merges give
-the same sample in whatever order rows come. Records of one identity (delivered again) hash alike and count once.
-
-The quotas are the targets' shares of the sample, rounded, and at least their minimum. After the final counts each
-category is trimmed to its feasible quota. What categories can't fill is reported, and is not given to others unless
-the total asked for leaves room: the shares are the goal, so a short category only makes the sample smaller.
-
-A reservoir of capacity c holds min(c, distinct records) rows, so with capacity = quota it tells exactly whether a
-target can be filled. Ties of hashes are broken by identity. Records with null category or identity are in no category;
+Each wanted category keeps the records with the smallest hashes of their identity, as many as its capacity: a reservoir
+that merges by keeping the smallest of both, so one pass over each partition and a tree of merges give the same sample in
+whatever order rows come. Records of one identity (delivered again) hash alike and count once.
+
+The quotas asked for are the targets' shares of the sample, rounded, and at least their minimum. Reservoirs are HEADROOM
+times larger. From their final counts come the feasible quotas: what short categories can't fill is given to the others
+by their shares, never below a minimum, so that the sample has the size asked for as long as the targets' records suffice
+and the minimums leave room. All reservoirs are trimmed to them. If one that was full should give more than it
+holds, the pass is repeated with larger ones.
+
+A reservoir of capacity c holds min(c, distinct records) rows, so one below its capacity tells exactly how many records
+a target has. Ties of hashes are broken by identity. Records with null category or identity are in no category;
 targets with null values match nothing and are reported; an empty table leaves every positive target short; further
 columns are not read. Targets (a few rows) are broadcast up to MAX_TARGETS, beyond which they are joined.
 """
@@ -20,11 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.session import materialize
+
 MAX_TARGETS = 10_000
 SALTS = 16
+HEADROOM = 2
 
 
 def _keep(capacity: str):
@@ -32,11 +37,13 @@ def _keep(capacity: str):
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        most = 50_000
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows > 50_000:
+            if held.num_rows > most:
                 held = _smallest(held, capacity)
+                most = max(50_000, 2 * held.num_rows)
         if held is not None and held.num_rows:
             yield from _smallest(held, capacity).combine_chunks().to_batches()
 
@@ -77,6 +84,54 @@ def quotas(targets: DataFrame, size: int) -> DataFrame:
     return targets.withColumn("quota", F.greatest(F.coalesce("min_rows", F.lit(0)), F.floor(F.coalesce("target_share", F.lit(0.0)) * size + 0.5 + 1e-9).cast("int")))
 
 
+def feasible_quotas(shares: dict[int, float], least: dict[int, int], most: dict[int, int], size: int) -> dict[int, int]:
+    """Quotas in proportion to the shares, at least `least` and at most `most`, that sum to size where the bounds let them.
+
+    The dicts hold one entry a target: a planning table, not records.
+    """
+    low = {t: min(least[t], most[t]) for t in shares}
+    high = {t: most[t] if shares[t] > 0 else low[t] for t in shares}
+    if sum(low.values()) >= size:
+        return low
+    if sum(high.values()) <= size:
+        return high
+    at = lambda scale: {t: min(high[t], max(low[t], scale * shares[t])) for t in shares}
+    below, above = 0.0, max(high[t] / shares[t] for t in shares if shares[t] > 0)
+    for _ in range(200):
+        middle = (below + above) / 2
+        below, above = (middle, above) if sum(at(middle).values()) < size else (below, middle)
+    exact = at(above)
+    out = {t: int(x + 1e-9) for t, x in exact.items()}
+    for t in sorted((t for t in out if out[t] < high[t]), key=lambda t: (out[t] - exact[t], t))[: max(0, size - sum(out.values()))]:
+        out[t] += 1  # the largest remainders
+    return out
+
+
+def proportional_sample(records: DataFrame, targets: DataFrame, categories: list[str], identity: str, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The sample (target, h, who, rec) of size records, and (target, target_share, quota, drawn, achieved_share).
+
+    targets: as quotas() gives them. The quota of the report is the one asked for, drawn the feasible one.
+    """
+    spark = records.sparkSession
+    rows = targets.select("target", "quota", F.coalesce("min_rows", F.lit(0)).alias("least"), F.coalesce("target_share", F.lit(0.0)).alias("share")).collect()  # a planning table
+    shares, least = {r["target"]: r["share"] for r in rows}, {r["target"]: r["least"] for r in rows}
+    capacity = {r["target"]: HEADROOM * r["quota"] + 1 for r in rows}
+    while True:
+        wider = spark.createDataFrame(list(capacity.items()), f"target {dict(targets.dtypes)['target']}, quota int")
+        held = materialize(reservoirs(records, targets.drop("quota").join(wider, "target"), categories, identity, key), "reservoirs")
+        counts = {r["target"]: r["n"] for r in held.groupBy("target").agg(F.count("*").alias("n")).collect()}
+        # a reservoir below its capacity holds all there are
+        feasible = feasible_quotas(shares, least, {t: n if (n := counts.get(t, 0)) < c else max(size, least[t]) for t, c in capacity.items()}, size)
+        if all(feasible[t] <= counts.get(t, 0) for t in feasible):
+            break
+        capacity = {t: max(c, HEADROOM * feasible[t] + 1) for t, c in capacity.items()}
+    drawn = spark.createDataFrame(list(feasible.items()), f"target {dict(targets.dtypes)['target']}, drawn bigint")
+    place = F.row_number().over(Window.partitionBy("target").orderBy("h", "who"))
+    sample = held.withColumn("place", place).join(F.broadcast(drawn), "target").where("place <= drawn").select("target", "h", "who", "rec")
+    achieved = F.col("drawn") / F.lit(max(1, sum(feasible.values())))
+    return sample, targets.join(drawn, "target").select("target", "target_share", "quota", "drawn", achieved.alias("achieved_share"))
+
+
 def target_report(sample: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a target: quota, drawn and missing."""
     drawn = sample.groupBy("target").agg(F.count("*").alias("drawn"))

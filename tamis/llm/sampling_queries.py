@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm.records import hardness_key, own_or_from_id, params, with_database
-from tamis.llm.sampling import quotas, reservoirs, target_report
+from tamis.llm.sampling import proportional_sample, quotas, reservoirs, target_report
 from tamis.session import table
 
 
-def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     records = table(spark, sf_dir, "d_retry_corrected").select("rec_id", "id", "db_id", "hardness")
     known = with_database(records, table(spark, sf_dir, "db_catalogue")).select("rec_id", "id", hardness_key(own_or_from_id(F.col("hardness"), 2)).alias("level"), "db")
     targets = table(spark, sf_dir, "sample_targets").select(F.col("target_id").alias("target"), F.col("hardness").alias("level"), F.col("db_id").alias("db"), "target_share", "min_rows")
-    wanted = quotas(targets, int(params(spark, sf_dir)["p6_sample_size"]))
-    return reservoirs(known, wanted, ["level", "db"], "id", "rec_id"), wanted
+    size = int(params(spark, sf_dir)["p6_sample_size"])
+    return known, quotas(targets, size), size
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, wanted, _ = _inputs(spark, sf_dir)
+    return target_report(reservoirs(known, wanted, ["level", "db"], "id", "rec_id"), wanted)
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    known, wanted, size = _inputs(spark, sf_dir)
+    return proportional_sample(known, wanted, ["level", "db"], "id", "rec_id", size)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_report(*_sample(spark, sf_dir)).where("missing > 0").select(F.col("target").alias("target_id"))
+    return _report(spark, sf_dir).where("missing > 0").select(F.col("target").alias("target_id"))
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +37,16 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_report(*_sample(spark, sf_dir)).withColumnRenamed("target", "target_id")
+    """What can be had of each quota asked for."""
+    return _report(spark, sf_dir).withColumnRenamed("target", "target_id")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sample holds of each target and the share that makes."""
+    return _sample(spark, sf_dir)[1].withColumnRenamed("target", "target_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report}
+QUERIES = {"p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p6_shares": p6_shares}
 
 _COUNTS = """WITH c AS (SELECT regexp_replace(lower(db_id), '[^a-z0-9]+', '', 'g') AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
 r AS (SELECT id, regexp_replace(lower(CASE WHEN hardness IS NULL OR regexp_full_match(hardness, '\\s*') THEN split_part(id, ':', 3) ELSE hardness END), '[^a-z]+', '', 'g') AS level,

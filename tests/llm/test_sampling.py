@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tamis.llm.sampling import quotas, reservoirs, target_report
+from tamis.llm.sampling import feasible_quotas, proportional_sample, quotas, reservoirs, target_report
 
 
 def test_sample_by_brute_force(spark):
@@ -29,3 +29,17 @@ def test_nothing_and_hot_category(spark):
     assert [tuple(r) for r in target_report(reservoirs(empty, t, ["c"], "who", "rec"), t).collect()] == [(1, 10, 0, 10)]
     hot = spark.range(150_000).selectExpr("id AS rec", "CAST(id AS STRING) AS who", "'a' AS c")
     assert reservoirs(hot, t, ["c"], "who", "rec").count() == 10
+
+
+def test_short_targets_leave_their_places_to_others(spark):
+    assert feasible_quotas({1: 0.5, 2: 0.3, 3: 0.2}, {1: 1, 2: 1, 3: 25}, {1: 10, 2: 99, 3: 99}, 90) == {1: 10, 2: 48, 3: 32}
+    assert feasible_quotas({1: 0.5, 2: 0.5}, {1: 1, 2: 1}, {1: 3, 2: 4}, 90) == {1: 3, 2: 4} and feasible_quotas({1: 0.5, 2: 0.5}, {1: 8, 2: 1}, {1: 9, 2: 9}, 4) == {1: 8, 2: 1}
+    # the first is nearly empty, so that the others need more than twice their quota: the pass is repeated
+    rows = [(i, f"id{i}", c) for i, c in enumerate("a" * 3 + "b" * 200 + "c" * 200 + "d" * 9)]
+    df = spark.createDataFrame(rows + [(1000 + i, w, c) for i, w, c in rows[:150]], "rec bigint, who string, c string")
+    wanted = quotas(spark.createDataFrame([(1, "a", 0.8, 1), (2, "b", 0.1, 1), (3, "c", 0.05, 5), (4, "d", 0.0, 2), (5, "none", 0.05, 2)], "target bigint, c string, target_share double, min_rows int"), 100)
+    sample, report = proportional_sample(df, wanted, ["c"], "who", "rec", 100)
+    got = sample.collect()
+    assert len(got) == 100 == len({r["who"] for r in got})
+    assert {r["target"]: (r["quota"], r["drawn"], r["achieved_share"]) for r in report.collect()} == {1: (80, 3, 0.03), 2: (10, 63, 0.63), 3: (5, 32, 0.32), 4: (2, 2, 0.02), 5: (5, 0, 0.0)}
+    assert {(r["target"], r["who"]) for r in proportional_sample(df.repartition(5, F.rand(1)), wanted, ["c"], "who", "rec", 100)[0].collect()} == {(r["target"], r["who"]) for r in got}

@@ -14,21 +14,23 @@ more bytes than arrived. The share of cut texts in each such group, smoothed tow
 evidence, is its prior. Where a text ends in a statement, the statement is checked: an open one is a cut text, a whole one
 gains log-odds, since little in its characters tells its end from a pause.
 
-A first pass over the ends marks the final contexts and the texts seen twice in bitmaps (2^FILTER_BITS places each), so that the counting pass
-keeps only contexts that end some text. Bitmaps and counts (2^SKETCH_BITS counters an order) have a fixed size, so memory
-and what is broadcast don't grow with the data. Null and empty texts are whole; very long texts are read whole; texts fetched again count like
+Copies are told by a 128-bit hash of the text. A first pass takes the final contexts of all texts; the counting pass sums
+positions by the 64-bit hash of their context, and a groupBy adds them up exactly, however many there are. Bitmaps of the
+final contexts only save work there: they are sized from the number of contexts (16 places each, at most 2^MOST_BITS an
+order), and what passes one by chance is dropped where counts are joined to final contexts. Null and empty texts are whole; very long texts are read whole; texts fetched again count like
 others; an empty table gives no rows. Null languages and sources are groups of their own.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.words import plain
@@ -36,9 +38,8 @@ from tamis.llm.clauses import open_state
 from tamis.session import materialize
 
 ORDERS = (2, 4, 7, 11, 16, 24)
-SKETCH_BITS = 20
-FILTER_BITS = 23
-BLOCK_BITS = 15
+MOST_BITS = 29
+HELD = 1 << 20
 PULL = 6.0
 LEAST_AT_LIMIT, SHARE_AT_LIMIT, NEAR = 8, 0.01, 3
 _BASE = 0xD1342543DE82EF95
@@ -89,33 +90,46 @@ def _window_hashes(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _mark(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _mark(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    places = _mark(h, len(bitmap).bit_length() + 2)
+    return (bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
 
 
 _PAD = "\2" * max(ORDERS)
 
 
-def _count_piece(buf: np.ndarray, filters: list[np.ndarray], counts: np.ndarray, bounds: np.ndarray) -> None:
+def _count_piece(buf: np.ndarray, filters: list[np.ndarray]) -> list[np.ndarray]:
+    """For each order, rows of hash, positions and boundaries of the contexts that pass."""
     after = np.append(buf[1:], np.uint8(2))
     final = (buf == 46) | (buf == 33) | (buf == 63)
     bound = (after == 10) | (after == 2) | (after == 3) | (final & (after == 32))
     at = np.flatnonzero((buf > 4) & (buf != 10))
     sums = _prefix_sums(buf)
+    out = []
     for o, n in enumerate(ORDERS):
         h = _window_hashes(sums, at, n)
-        keep = filters[o][_mark(h)]  # a longer context ends a text only if the shorter one does
-        at, slots = at[keep], _slot(h[keep])
-        np.add.at(counts[o], slots, np.uint32(1))  # a typed one is many times faster
-        np.add.at(bounds[o], slots[bound[at]], np.uint32(1))
+        keep = _marked(filters[o], h)  # a longer context ends a text only if the shorter one does
+        at, h = at[keep], h[keep]
+        seen, counts = np.unique(h, return_counts=True)
+        ends, some = np.unique(h[bound[at]], return_counts=True)
+        bounds = np.zeros_like(counts)
+        bounds[np.searchsorted(seen, ends)] = some
+        out.append(np.stack([seen.view(np.int64), counts, bounds]))
+    return out
 
 
-def _place(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) >> (32 - FILTER_BITS)
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of hash, positions and boundaries, one column a hash."""
+    rows = np.concatenate(parts, axis=1)
+    if not rows.shape[1]:
+        return rows
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+    return np.stack([rows[0, first], np.add.reduceat(rows[1], first), np.add.reduceat(rows[2], first)])
 
 
 def _pieces(texts: Iterable[tuple[str, bool]]) -> Iterator[np.ndarray]:
@@ -151,22 +165,24 @@ def _final_hashes(texts: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _ends(text: str):
-    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(ORDERS), 1 << FILTER_BITS), bool)
-        copies = np.zeros(1 << FILTER_BITS, np.uint8)
+_NAMES = [f"h{n}" for n in ORDERS]
+_LAST = _NAMES[-1]  # the longest context tells all shorter ones
+
+
+def _marks(bits: list[int]):
+    """The bitmaps of the final contexts of a partition, one row an order."""
+
+    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(1 << (n - 3), np.uint8) for n in bits]
         for batch in batches:
-            texts = [t for t in batch.column(text).to_pylist() if t]
-            for o, h in enumerate(_final_hashes(texts)):
-                seen[o, _mark(h)] = True
-            places, n = np.unique(np.fromiter(map(_place, texts), np.int64, len(texts)), return_counts=True)
-            copies[places] = np.minimum(2, copies[places] + np.minimum(2, n))
-        yield pa.RecordBatch.from_arrays([pa.array([len(ORDERS)], pa.int64()), pa.array([zlib.compress(copies.tobytes(), 1)])], ["block", "counts"])
-        for o in range(len(ORDERS)):
+            for o, n in enumerate(bits):
+                places = _mark(batch.column(o).to_numpy().view(np.uint64), n)
+                np.bitwise_or.at(seen[o], places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
+        for o in range(len(bits)):
             if seen[o].any():
-                yield pa.RecordBatch.from_arrays([pa.array([o], pa.int64()), pa.array([zlib.compress(np.packbits(seen[o]).tobytes(), 1)])], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([o], pa.int64()), pa.array([zlib.compress(seen[o].tobytes(), 1)])], ["block", "marks"])
 
-    return ends
+    return marks
 
 
 def _either(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,68 +190,70 @@ def _either(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             part = np.frombuffer(zlib.decompress(raw), np.uint8)
-            marks[block] = np.minimum(2, marks.get(block, 0) + part) if block == len(ORDERS) else marks.get(block, 0) | part
-    if len(ORDERS) in marks:
-        marks[len(ORDERS)] = np.packbits(marks[len(ORDERS)] > 1)
+            marks[block] = marks[block] | part if block in marks else part
     for block, both in marks.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(both.tobytes(), 1)])], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(both.tobytes(), 1)])], ["block", "marks"])
+
 
+def _learn(filters):
+    """Partial counts of the contexts; columns text and copied."""
+
+    def rows(o: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(sums.shape[1], o, np.int32)), *map(pa.array, sums)], ["o", "h", "n", "b"])
 
-def _learn(text: str, filters):
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *marks, copied = np.unpackbits(filters.value, axis=1).view(bool)
-        counts = np.zeros((len(ORDERS), 1 << SKETCH_BITS), np.uint32)
-        bounds = np.zeros_like(counts)
-        for piece in _pieces((stripped(t), not copied[_place(t)]) for batch in batches for t in batch.column(text).to_pylist() if t):
-            _count_piece(piece, marks, counts, bounds)
-        width = 1 << BLOCK_BITS
-        for o in range(len(ORDERS)):
-            for block in range(0, 1 << SKETCH_BITS, width):
-                if counts[o, block : block + width].any():
-                    raw = zlib.compress(counts[o, block : block + width].tobytes() + bounds[o, block : block + width].tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([(o << SKETCH_BITS) + block], pa.int64()), pa.array([raw])], ["block", "counts"])
+        held: list[list[np.ndarray]] = [[] for _ in ORDERS]
+        texts = ((stripped(t), not c) for batch in batches for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t)
+        for piece in _pieces(texts):
+            for o, part in enumerate(_count_piece(piece, filters.value)):
+                held[o].append(part)
+                if sum(x.shape[1] for x in held[o]) > HELD:
+                    held[o] = [_summed(held[o])]
+                    if held[o][0].shape[1] > HELD // 2:
+                        yield rows(o, held[o].pop())
+        for o, parts in enumerate(held):
+            if parts:
+                yield rows(o, _summed(parts))
 
     return learn
 
 
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
-    for block, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)])], ["block", "counts"])
-
-
-def train(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(2, orders, slots): positions and boundaries seen after each context; and the bitmap of copied texts."""
-    schema = "block bigint, counts binary"
-    filters = np.zeros((len(ORDERS) + 1, 1 << (FILTER_BITS - 3)), np.uint8)
-    texts = df.select(text)
-    for r in texts.mapInArrow(_ends(text), schema).repartition("block").mapInArrow(_either, schema).toLocalIterator():  # one row an order and one for copies
-        filters[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
-    known = df.sparkSession.sparkContext.broadcast(filters)
-    model = np.zeros((2, len(ORDERS) << SKETCH_BITS), np.float32)
-    merged = texts.mapInArrow(_learn(text, known), schema).repartition("block").mapInArrow(_merge, schema)
-    for r in merged.toLocalIterator():  # at most orders x 2^(bits - 15) rows of 256 KB before compression
-        part = np.frombuffer(zlib.decompress(r["counts"]), np.float32)
-        model[0, r["block"] : r["block"] + len(part) // 2] = part[: len(part) // 2]
-        model[1, r["block"] : r["block"] + len(part) // 2] = part[len(part) // 2 :]
-    return model.reshape(2, len(ORDERS), -1), filters[-1]
-
-
-def end_scores(texts: list[str], model: np.ndarray, copied: np.ndarray) -> np.ndarray:
-    """The log-odds of an end against a continuation after each text's final context."""
-    places = np.fromiter(map(_place, texts), np.int64, len(texts))
-    own = 1 - ((copied[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1)  # counted ends are left out
-    p = np.full(len(texts), 0.02)
-    for o, h in enumerate(_final_hashes(texts)):
-        slots = _slot(h)
-        counts = np.maximum(0, model[0, o, slots].astype(float) - own)
-        bounds = np.clip(model[1, o, slots].astype(float) - own, 0, counts)
-        p = (bounds + PULL * p) / (counts + PULL)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
+def copied_texts(df: DataFrame, text: str) -> DataFrame:
+    """(hash, copied): the 128-bit hashes of the texts that occur more than once."""
+    return df.select(F.unhex(F.md5(text)).alias("hash")).where("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(True).alias("copied"))
+
+
+def context_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(o, h, n, b): positions and boundaries seen after each context of each order; some that end no text are among them.
+
+    texts: text, copied; contexts: the hashes of the final contexts, one column an order.
+    """
+    schema, spark = "block bigint, marks binary", texts.sparkSession
+    about = contexts.agg(*(F.approx_count_distinct(c) for c in _NAMES)).first()  # these only size the bitmaps
+    bits = [min(MOST_BITS, max(12, math.ceil(math.log2(16 * max(1, n))))) for n in about]
+    filters = [np.zeros(1 << (n - 3), np.uint8) for n in bits]
+    for r in contexts.mapInArrow(_marks(bits), schema).repartition("block").mapInArrow(_either, schema).toLocalIterator():  # one row an order
+        filters[r["block"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    known = spark.sparkContext.broadcast(filters)
+    return texts.select("text", "copied").mapInArrow(_learn(known), "o int, h bigint, n bigint, b bigint").groupBy("o", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+
+
+def _odds(own: int) -> Column:
+    """The log-odds of an end against a continuation, `own` ends left out; columns n0, b0, n1, ..."""
+    p: Column = F.lit(0.02)
+    for o in range(len(ORDERS)):
+        counts = F.greatest(F.lit(0), F.col(f"n{o}") - own)
+        p = (F.least(F.greatest(F.lit(0), F.col(f"b{o}") - own), counts) + PULL * p) / (counts + PULL)
+    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
+    return F.log(p / (1 - p))
+
+
+def end_odds(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The log-odds after each final context, for texts whose own end is counted (odds_own) and for copies (odds_all)."""
+    pairs = contexts.select(_LAST, F.posexplode(F.array(*_NAMES)).alias("o", "h"))
+    at = lambda c, o: F.coalesce(F.sum(F.when(F.col("o") == o, F.col(c))), F.lit(0))
+    sums = pairs.join(context_counts(texts, contexts), ["o", "h"], "left").groupBy(_LAST).agg(*(at(c, o).alias(f"{c}{o}") for o in range(len(ORDERS)) for c in "nb"))
+    return sums.select(_LAST, _odds(1).alias("odds_own"), _odds(0).alias("odds_all"))
 
 
 _STATEMENT = re.compile(r"(?is)\bselect\b.*")
@@ -259,29 +277,33 @@ def statement_end(text: str) -> str:
     return "open" if state not in ("whole", "number") else "closed" if sql.endswith(";") else "whole"
 
 
-def _score(text: str, model):
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            some = [i for i, t in enumerate(texts) if t and t.strip()]
-            odds = np.full(len(texts), 14.0)
-            odds[some] = end_scores([texts[i] for i in some], *model.value)
-            states = [statement_end(t) if t else "" for t in texts]
-            rest = [c for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(odds), pa.array(states)], [*rest, "end_odds", "statement"])
-
-    return score
+def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statements at the ends and the hashes of the final contexts instead of the texts."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        some = np.array([bool(t and t.strip()) for t in texts], bool)
+        hashes = []
+        for h in _final_hashes([t for t, s in zip(texts, some, strict=True) if s]):
+            column = np.zeros(len(texts), np.int64)
+            column[some] = h.view(np.int64)
+            hashes.append(pa.array(column, mask=~some))
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([statement_end(t) if t else "" for t in texts], pa.string()), *hashes], [*rest, "statement", *_NAMES])
 
 
 def scored_texts(df: DataFrame, key: str, text: str, source: str, lang: str, announced: str) -> DataFrame:
     """(key, source, lang, n_chars, n_bytes, more, end_odds, statement) of every text."""
-    model = df.sparkSession.sparkContext.broadcast(train(df, text))
     code = F.regexp_extract(F.lower(F.trim(F.coalesce(lang, F.lit("")))), "^[a-z]{2}", 0)
     used = df.select(
         F.col(key), F.coalesce(source, F.lit("")).alias("source"), code.alias("lang"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"),
-        F.coalesce((F.col(announced) > F.octet_length(text)).cast("int"), F.lit(-1)).alias("more"), F.col(text).alias("text"),
+        F.coalesce((F.col(announced) > F.octet_length(text)).cast("int"), F.lit(-1)).alias("more"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("hash"),
     )
-    return used.mapInArrow(_score("text", model), f"{key} {dict(df.dtypes)[key]}, source string, lang string, n_chars int, n_bytes int, more int, end_odds double, statement string")
+    told = used.join(materialize(copied_texts(df, text), "copied"), "hash", "left").drop("hash").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    hashes = ", ".join(f"{c} bigint" for c in _NAMES)
+    ends = materialize(told.mapInArrow(_ends, f"{key} {dict(df.dtypes)[key]}, source string, lang string, n_chars int, n_bytes int, more int, copied boolean, statement string, {hashes}"), "ends")
+    odds = end_odds(told, materialize(ends.select(*_NAMES).where(F.col(_LAST).isNotNull()).distinct(), "contexts"))
+    found = F.when(F.col(_LAST).isNull(), 14.0).when(F.col("copied"), F.col("odds_all")).otherwise(F.col("odds_own"))
+    return ends.join(odds, _LAST, "left").select(key, "source", "lang", "n_chars", "n_bytes", "more", found.alias("end_odds"), "statement")
 
 
 def _limits(scored: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tamis.llm.truncation import _prefix_sums, _window_hashes, cut_texts, shown, statement_end, stripped
+from tamis.llm.truncation import _NAMES, ORDERS, _ends, _final_hashes, _prefix_sums, _window_hashes, context_counts, copied_texts, cut_texts, shown, statement_end, stripped
 
 SAY = ["Le score passe de {n} à {n} points quand le schéma est raccourci.", "La méthode retenue compare les résultats sans tenir compte de l'ordre.", "Parmi les {n} prédictions, {n} ne commencent pas par une instruction de lecture.", "Le quota de {n} exemples par base laisse de côté les niveaux rares.", "Les doublons ont été retirés en gardant la ligne la plus récente."]
 END = ["", "", "", "\n\nTotal : {n}", "\n\n- {n} lignes gardées\n- table vérifiée", "\n\nCordialement,\nle pôle Dupont", "\n\nSELECT a FROM t WHERE b > {n};", " Et ainsi de suite...", "\n\n[fin]"]
@@ -57,3 +60,31 @@ def test_windows_name_what_they_hold(n):
     for i in range(n - 1, len(buf)):
         assert by.setdefault(bytes(buf[i - n + 1 : i + 1]), h[i]) == h[i]
     assert len(set(by.values())) == len(by)
+
+
+def test_counts_are_exact_and_only_copies_are_copies(spark):
+    # different texts whose 23-bit checksums are the same, and one copy
+    places = defaultdict(list)
+    for i in range(20_000):
+        places[zlib.crc32((t := f"{SAY[i % 5]} Reste {'abcdefghij'[i % 7]}{i} cas. Fin du lot {'klmnopqrst'[i % 9]}.").encode()) >> 9].append(t)
+    texts = [t for same in places.values() if len(same) > 1 for t in same]
+    assert len(texts) > 20
+    texts.append(texts[0])
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert copied_texts(df, "text").count() == 1
+    told = df.withColumn("copied", F.col("text") == texts[0])
+    contexts = told.mapInArrow(_ends, "copied boolean, statement string, " + ", ".join(f"{c} bigint" for c in _NAMES)).select(*_NAMES).distinct()
+    got = {(r["o"], r["h"]): (r["n"], r["b"]) for r in context_counts(told, contexts).collect()}
+    n, b = Counter(), Counter()
+    for t in texts:
+        seen = "\2" * max(ORDERS) + shown(t)
+        last = len(seen) - (t == texts[0])
+        for i in range(max(ORDERS), last):
+            end = i + 1 == len(seen) or (seen[i] in ".!?" and seen[i + 1] == " ")
+            for o, k in enumerate(ORDERS):
+                n[o, seen[i + 1 - k : i + 1]] += 1
+                b[o, seen[i + 1 - k : i + 1]] += end
+    for t in texts:
+        for o, h in enumerate(_final_hashes([t])):
+            context = ("\2" * max(ORDERS) + shown(t))[-ORDERS[o] :]
+            assert got.get((o, int(h.view(np.int64)[0])), (0, 0)) == (n[o, context], b[o, context])

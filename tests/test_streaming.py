@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tamis.streaming import telemetry
 
 
@@ -14,3 +16,12 @@ def test_windows(spark, tmp_path):
     got = telemetry.run_once(telemetry.window_counts(telemetry.read_parquet_stream(spark, path), "ts", "k"), "complete").collect()
     assert sorted(r["n"] for r in got) == [3, 3]
     assert sorted(r["n"] for r in telemetry.run_once(telemetry.session_counts(telemetry.read_parquet_stream(spark, path), "ts", "k"), "complete").collect()) == [6]
+
+
+def test_many_shuffled_logs_over_several_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    logs = spark.range(25_000).select(F.when(F.col("id") < 24_900, 1).otherwise(2).cast("bigint").alias("part"), F.col("id").alias("step"), (F.col("id") * 0.5).alias("seconds"))
+    logs.orderBy(F.rand(3)).repartition(5).write.parquet(path)
+    got = telemetry.run_once(telemetry.log_deltas(telemetry.read_parquet_stream(spark, path)), "append").collect()
+    assert {(r["part"], r["step"]) for r in got} == {(1 if i < 24_900 else 2, i) for i in range(25_000) if i not in (0, 24_900)}
+    assert len(got) == 24_998 and all((r["d_step"], r["d_seconds"]) == (1, 0.5) for r in got)

@@ -7,12 +7,14 @@ import sqlite3
 import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
+from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators.compare import cell
+from tamis.operators.compare import MOST_COLUMNS, cell, unified
+from tamis.session import materialize
 
 TIMEOUT_S = 5.0
 RESULT = "db_id string, sql string, ok boolean, rows array<array<string>>, error string, ms double"
@@ -112,10 +114,55 @@ def check_statements(df: DataFrame, key: str, sql: str, ddl: str, timeout: float
     return df.select(key, sql, ddl).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, reason string, hardness string")
 
 
+def _tagged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[1:]]
+        cells = [[cell(c[i]) for c in columns] for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.string()))], ["m", "cells"])
+
+
+def _kept(df: DataFrame) -> str:
+    """The path of a result written whole as (pos, cells), in its order."""
+    spark = df.sparkSession
+    named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    rows = materialize(named.select(F.monotonically_increasing_id().alias("m"), "*").mapInArrow(_tagged, "m bigint, cells array<string>"), "rows")
+    counts = sorted(rows.groupBy(F.shiftrightunsigned("m", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    placed = rows.withColumn("part", F.shiftrightunsigned("m", 33)).join(F.broadcast(spark.createDataFrame(starts, "part bigint, start bigint")), "part")
+    return materialize(placed.select((F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("pos"), "cells"), "result").inputFiles()[0].rpartition("/")[0]
+
+
+def compare_kept(spark: SparkSession, a: str, b: str, ordered: bool) -> tuple[bool, bool, bool]:
+    """Strict, bag and permuted equality of two results kept whole; b is the gold one."""
+    x, y = (spark.read.schema("pos bigint, cells array<string>").parquet(p) for p in (a, b))
+    if x.count() != y.count():
+        return False, False, False
+
+    def same(left: DataFrame, places: bool) -> bool:
+        columns = ["pos", "cells"] if places else ["cells"]
+        return left.select(columns).exceptAll(y.select(columns)).isEmpty()  # as many rows, so one direction is enough
+
+    strict = x.select("pos", unified(F.array("cells"))[0].alias("cells")).exceptAll(y.select("pos", unified(F.array("cells"))[0].alias("cells"))).isEmpty()
+    bag = same(x, ordered)
+    width = len(y.first()["cells"])
+    if bag or width > MOST_COLUMNS or len(x.first()["cells"]) != width:
+        return strict, strict or bag, bag and width <= MOST_COLUMNS
+    # a column can only stand for one with the same values
+    values = lambda d: d.agg(*(F.sum(F.xxhash64(F.col("cells")[i]).cast("decimal(38,0)")).alias(f"c{i}") for i in range(width))).first()
+    have, want = values(x), values(y)
+    orders = (o for o in permutations(range(width)) if all(have[o[i]] == want[i] for i in range(width)))
+    permuted = any(same(x.select("pos", F.array(*(F.col("cells")[i] for i in o)).alias("cells")), ordered) for o in orders)
+    return strict, strict or bag, permuted
+
+
 def execute_spark(spark: SparkSession, statements: list[tuple[str, str]], timeout: float = 60.0, most_rows: int = 10_000) -> DataFrame:
     """Runs a bounded list of (db_id, sql) over the session's views, each in a job group that a timer cancels.
 
-    For statements over large tables; for many small databases use execute_sqlite().
+    For statements over large tables; for many small databases use execute_sqlite(). A result of more than most_rows rows
+    is kept whole in the shared folder: `rows` is null then and `kept` names its place, and score() compares it there.
     """
     sc = spark.sparkContext
     out = []
@@ -123,23 +170,26 @@ def execute_spark(spark: SparkSession, statements: list[tuple[str, str]], timeou
         group = f"tamis-execute-{id(out)}-{n}"
         began = time.monotonic()
         if not read_only(sql):
-            out.append((db, sql, False, None, "not read-only", 0.0))
+            out.append((db, sql, False, None, "not read-only", 0.0, None))
             continue
         fired = threading.Event()
         timer = threading.Timer(timeout, lambda g=group, f=fired: (f.set(), sc.cancelJobGroup(g)))
         timer.start()
         try:
             sc.setJobGroup(group, "tamis execution", True)
-            rows = [[cell(x) for x in r] for r in spark.sql(sql.rstrip("; ")).limit(most_rows).collect()]
-            out.append((db, sql, True, rows, None, (time.monotonic() - began) * 1000))
+            df = spark.sql(sql.rstrip("; "))
+            first = df.limit(most_rows + 1).collect()
+            kept = _kept(df) if len(first) > most_rows else None
+            rows = None if kept else [[cell(x) for x in r] for r in first]
+            out.append((db, sql, True, rows, None, (time.monotonic() - began) * 1000, kept))
         except Exception as e:
             syntax = "PARSE_SYNTAX_ERROR" in str(e)
             message = f"timeout after {timeout:g} s" if fired.is_set() else ("syntax error: " if syntax else "") + re.sub(r"\s+", " ", str(e))[:300]
-            out.append((db, sql, False, None, message, (time.monotonic() - began) * 1000))
+            out.append((db, sql, False, None, message, (time.monotonic() - began) * 1000, None))
         finally:
             timer.cancel()
             sc.setLocalProperty("spark.jobGroup.id", None)
-    return spark.createDataFrame(out, RESULT)
+    return spark.createDataFrame(out, f"{RESULT}, kept string")
 
 
 def score(predictions: DataFrame, gold: DataFrame, results: DataFrame, strict_gold: bool = False) -> DataFrame:
@@ -150,18 +200,27 @@ def score(predictions: DataFrame, gold: DataFrame, results: DataFrame, strict_go
     from tamis.functions.sqltext import has_order_by, is_syntax_error, normalize_sql
     from tamis.operators.compare import bags_equal, columns_permuted, strictly_equal
 
-    r = results.select("db_id", "sql", "ok", "rows", "error")
+    r = results.select("db_id", "sql", "ok", "rows", "error", F.col("kept") if "kept" in results.columns else F.lit(None).cast("string").alias("kept"))
     joined = predictions.join(gold.select("id", F.col("sql").alias("gold_sql")), "id")
-    joined = joined.join(r, ["db_id", "sql"], "left").join(r.select("db_id", F.col("sql").alias("gold_sql"), F.col("ok").alias("gold_ok"), F.col("rows").alias("gold_rows")), ["db_id", "gold_sql"], "left")
+    joined = joined.join(r, ["db_id", "sql"], "left").join(r.select("db_id", F.col("sql").alias("gold_sql"), F.col("ok").alias("gold_ok"), F.col("rows").alias("gold_rows"), F.col("kept").alias("gold_kept")), ["db_id", "gold_sql"], "left")
     ordered = has_order_by(F.col("gold_sql"))
     ran = F.coalesce("ok", F.lit(False)) & F.coalesce("gold_ok", F.lit(False))
     strict = ran & strictly_equal(F.col("rows"), F.col("gold_rows"))
     bag = strict | (ran & bags_equal(F.col("rows"), F.col("gold_rows"), ordered))
+    permuted = ran & columns_permuted("rows", "gold_rows", ordered)
+    if "kept" in results.columns:  # a bounded list of statements; a kept result never equals a smaller one
+        spark = predictions.sparkSession
+        pairs = joined.where("kept IS NOT NULL AND gold_kept IS NOT NULL").select("kept", "gold_kept", ordered.alias("ordered")).distinct().collect()
+        verdicts = [(p["kept"], p["gold_kept"], *compare_kept(spark, p["kept"], p["gold_kept"], p["ordered"])) for p in pairs]
+        told = spark.createDataFrame(verdicts, "kept string, gold_kept string, k_strict boolean, k_bag boolean, k_permuted boolean")
+        joined = joined.join(F.broadcast(told), ["kept", "gold_kept"], "left")
+        both = F.col("kept").isNotNull() & F.col("gold_kept").isNotNull()
+        strict, bag, permuted = (F.when(both, F.col(k)).otherwise(small) for k, small in (("k_strict", strict), ("k_bag", bag), ("k_permuted", permuted)))
     if strict_gold and (bad := joined.where(~F.coalesce("gold_ok", F.lit(False))).select("id").take(3)):
         raise ValueError(f"gold statements fail: {bad}")
     d = joined.select(
         "id", "db_id", F.coalesce("gold_ok", F.lit(False)).alias("gold_ok"), (F.lower(normalize_sql(F.col("sql"))) == F.lower(normalize_sql(F.col("gold_sql")))).alias("exact_match"),
         F.coalesce("ok", F.lit(False)).alias("executed"), (~is_syntax_error(F.col("error"))).alias("syntax_valid"), "error",
-        strict.alias("strict"), bag.alias("bag"), (ran & columns_permuted("rows", "gold_rows", ordered)).alias("_permuted"),
+        strict.alias("strict"), bag.alias("bag"), permuted.alias("_permuted"),
     )
     return d.withColumn("permuted", F.col("bag") | F.col("_permuted")).drop("_permuted")

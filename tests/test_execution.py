@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators.compare import _columns_match, bags_equal, cell, strictly_equal
-from tamis.operators.execute import check_statements, execute_sqlite, run_sqlite, score
+from tamis.operators.execute import check_statements, execute_spark, execute_sqlite, run_sqlite, score
 from tamis.sources import jsonl, sinks
 from tamis.sources.gpu import gpu_stats
 from tamis.sources.sqlite import SqliteSource, inspect, sample_text
@@ -106,3 +106,18 @@ def test_gpu_lines(spark):
     df = spark.createDataFrame([("a", "12 %, 300.5 W, [N/A]"), ("b", "7"), ("c", None)], "host string, line string")
     got = {r["host"]: (r["load"], r["watts"], r["temp"]) for r in gpu_stats(df, "line", ["load", "watts", "temp"]).collect()}
     assert got == {"a": (12.0, 300.5, None), "b": (7.0, None, None), "c": (None, None, None)}
+
+
+def test_large_results_are_compared_whole(spark):
+    one = "SELECT id, id % 7 AS m FROM range(0, 30, 1, 3)"
+    pairs = [
+        (one, "SELECT id, IF(id = 29, 99, id % 7) AS m FROM range(0, 30, 1, 3)", (False, False, False)),  # differs beyond the bound
+        (one, "SELECT id * 1.0D AS id, id % 7 AS m FROM range(0, 30, 1, 3)", (True, True, True)),
+        (one, one + " ORDER BY id DESC", (False, False, False)), (one + " ORDER BY id DESC", one, (False, True, True)),
+        ("SELECT id % 7 AS m, id FROM range(0, 30, 1, 3)", one, (False, False, True)), (one + " LIMIT 5", one, (False, False, False)), (one, one, (True, True, True)),
+    ]
+    p = spark.createDataFrame([(str(i), "d", a) for i, (a, _, _) in enumerate(pairs)], "id string, db_id string, sql string")
+    g = spark.createDataFrame([(str(i), b) for i, (_, b, _) in enumerate(pairs)], "id string, sql string")
+    results = execute_spark(spark, [("d", s) for s in sorted({s for a, b, _ in pairs for s in (a, b)})], most_rows=10)
+    got = {r["id"]: (r["strict"], r["bag"], r["permuted"]) for r in score(p, g, results).collect()}
+    assert got == {str(i): w for i, (_, _, w) in enumerate(pairs)}

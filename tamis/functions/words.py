@@ -46,6 +46,15 @@ def word_text(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    """A key under which the spellings of a database name agree: no path, file ending, letter case or separators."""
+    """A key under which the spellings of a database name agree: no path, file ending, letter case, accents or separators.
+
+    Runs of digits count by their value, so that 7, 07 and 007 agree; a separator between two of them is kept.
+    """
     bare = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^.*[/\\]", "")), r"(?i)\.(sqlite3?|db)\s*$", "")
-    return F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "")
+    marked = F.regexp_replace(F.translate(F.lower(bare), _FROM + _MARKS, _TO), "[^a-z0-9]+", "_")
+    return F.regexp_replace(F.regexp_replace(marked, "(?<![0-9])_|_(?![0-9])", ""), "(?<![0-9])0+(?=[0-9])", "")
+
+
+def strict_name_key(c: Column) -> Column:
+    """The same with digits as they are written, to tell names apart that differ only in leading zeros."""
+    return F.regexp_replace(word_text(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^.*[/\\]|\.(sqlite3?|db)\s*$", "")), " ", "")

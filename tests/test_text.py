@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import sqltext as S
 from tamis.functions.sqlparse import SyntaxFault, catalog_of, classify, components, parse, tokens
-from tamis.functions.words import plain, word_text, words
+from tamis.functions.words import name_key, plain, strict_name_key, word_text, words
 
 
 def _run(spark, texts, fn):
@@ -134,3 +134,11 @@ def test_quirks_of_counting():
     assert tokens("a>=1 and b != \"x y\"") == ["a", ">=", "1", "and", "b", "!=", '"x y"']
     assert catalog_of("CREATE TABLE T (\n A INT PRIMARY KEY,\n b TEXT,\n FOREIGN KEY (b) REFERENCES u(a)\n);\n\nCREATE TABLE u (a REAL, d TEXT);") == {"t": ["a", "b"], "u": ["a", "d"]}
     assert Counter(classify(s, CATALOG)[0] for s in ["SELECT a FROM t;", "select a from t where a between 1 and 2"])["easy"] == 2
+
+
+def test_name_keys(spark):
+    spelled = ["synthetic_007", "Synthetic007", "synthetic_0007", "SYNTHETIC-7", " synthetic 07\t", "/srv/bases/synthetic_007.sqlite", r"D:\lots\synthétic_007.db "]
+    assert set(_run(spark, spelled, name_key)) == {"synthetic7"}
+    apart = ["db_1_2", "db_12", "db_1_02x", "db_120", "db_0", "db", "", None]
+    assert _run(spark, apart, name_key) == ["db1_2", "db12", "db1_2x", "db120", "db0", "db", "", ""]
+    assert _run(spark, ["synthetic_007", "Synthetic 07.sqlite", None], strict_name_key) == ["synthetic007", "synthetic07", ""]

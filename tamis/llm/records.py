@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.functions.words import name_key
+from tamis.functions.words import name_key, strict_name_key
 from tamis.session import table
 
 
@@ -26,8 +26,22 @@ def hardness_key(c: Column) -> Column:
 def with_database(records: DataFrame, catalogue: DataFrame, name: str = "db") -> DataFrame:
     """Adds the database a record concerns, in the catalogue's spelling.
 
-    A blank db_id is taken from the id; a name the catalogue lacks keeps its key as its spelling.
+    It is the one db_id names, or, if that is blank or names none of the catalogue, the one the id names; a name the
+    catalogue lacks altogether keeps its key as its spelling. Where the catalogue has names that differ only in leading
+    zeros, the one written as in the record comes first.
     """
-    known = catalogue.select(name_key(F.col("db_id")).alias("_k"), "db_id").groupBy("_k").agg(F.min("db_id").alias("_known"))
-    keyed = records.withColumn("_k", name_key(own_or_from_id(F.col("db_id"), 1)))
-    return keyed.join(known, "_k", "left").withColumn(name, F.coalesce("_known", "_k")).drop("_k", "_known")
+    spelled = catalogue.where("db_id IS NOT NULL").select(name_key(F.col("db_id")).alias("_k"), F.struct(strict_name_key(F.col("db_id")).alias("s"), F.col("db_id").alias("d")).alias("_n"))
+    known = spelled.groupBy("_k").agg(F.array_sort(F.collect_set("_n")).alias("_n"))  # one database's spellings
+    own, told = own_or_from_id(F.col("db_id"), 1), F.get(F.split("id", ":"), F.lit(1))
+    keyed = records.withColumns({"_own": name_key(own), "_strict": strict_name_key(own), "_told": name_key(told)})
+    joined = keyed.join(known.select(F.col("_k").alias("_own"), F.col("_n").alias("_a")), "_own", "left").join(known.select(F.col("_k").alias("_told"), F.col("_n").alias("_b")), "_told", "left")
+    same = F.filter("_a", lambda x: x["s"] == F.col("_strict"))
+    return joined.withColumn(name, F.coalesce(F.get(same, F.lit(0))["d"], F.get("_a", F.lit(0))["d"], F.get("_b", F.lit(0))["d"], "_own")).drop("_own", "_strict", "_told", "_a", "_b")
+
+
+# The same told apart from the code above, for the SQL checks: a name is the list of its words and of its numbers' values.
+NAMED_SQL = "CASE WHEN trim(coalesce(db_id, ''), e' \\t\\r\\n') = '' THEN split_part(id, ':', 2) ELSE db_id END"
+
+
+def name_tokens_sql(name: str) -> str:
+    return f"list_transform(regexp_extract_all(regexp_replace(lower({name}), '[.]sqlite\\s*$', ''), '[a-z]+|[0-9]+'), lambda t: coalesce(try_cast(t AS BIGINT)::VARCHAR, t))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.records import hardness_key, own_or_from_id, params, with_database
+from tamis.llm.records import NAMED_SQL, hardness_key, name_tokens_sql, own_or_from_id, params, with_database
 from tamis.llm.sampling import proportional_sample, quotas, reservoirs, target_report
 from tamis.session import table
 
@@ -48,9 +48,8 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p6_shares": p6_shares}
 
-_COUNTS = """WITH c AS (SELECT regexp_replace(lower(db_id), '[^a-z0-9]+', '', 'g') AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
-r AS (SELECT id, regexp_replace(lower(CASE WHEN hardness IS NULL OR regexp_full_match(hardness, '\\s*') THEN split_part(id, ':', 3) ELSE hardness END), '[^a-z]+', '', 'g') AS level,
-  regexp_replace(regexp_replace(lower(CASE WHEN db_id IS NULL OR regexp_full_match(db_id, '\\s*') THEN split_part(id, ':', 2) ELSE db_id END), '\\.sqlite\\s*$', ''), '[^a-z0-9]+', '', 'g') AS k FROM d_retry_corrected),
+_COUNTS = f"""WITH c AS (SELECT {name_tokens_sql('db_id')} AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
+r AS (SELECT id, regexp_extract(lower(CASE WHEN trim(coalesce(hardness, '')) = '' THEN split_part(id, ':', 3) ELSE hardness END), '[a-z]+') AS level, {name_tokens_sql(NAMED_SQL)} AS k FROM d_retry_corrected),
 n AS (SELECT level, db, count(DISTINCT id) AS n FROM r JOIN c USING (k) GROUP BY ALL),
 q AS (SELECT t.target_id, greatest(min_rows, floor(target_share * (SELECT val FROM run_params WHERE param = 'p6_sample_size') + 0.5 + 1e-9))::INT AS quota, coalesce(n, 0) AS n
   FROM sample_targets t LEFT JOIN n ON n.level = t.hardness AND n.db = t.db_id)

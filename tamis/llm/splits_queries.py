@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.records import params, with_database
+from tamis.llm.records import NAMED_SQL, name_tokens_sql, params, with_database
 from tamis.llm.splits import grouped_records, question_links, spanning_forest, split_records
 from tamis.session import table
 
@@ -44,10 +44,9 @@ def p2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_split_report": p2_split_report, "p2_forest": p2_forest}
 
 ORACLE = {
-    "p2_found": """WITH RECURSIVE c AS (SELECT regexp_replace(lower(db_id), '[^a-z0-9]+', '', 'g') AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
-r AS (SELECT rec_id, array_to_string(regexp_extract_all(strip_accents(lower(question)), '[a-z0-9]+'), ' ') AS q,
-  regexp_replace(regexp_replace(lower(CASE WHEN db_id IS NULL OR regexp_full_match(db_id, '\\s*') THEN split_part(id, ':', 2) ELSE db_id END), '\\.sqlite\\s*$', ''), '[^a-z0-9]+', '', 'g') AS k FROM d_retry_corrected),
-n AS (SELECT rec_id, q, coalesce(db, k) AS db FROM r LEFT JOIN c USING (k)),
+    "p2_found": f"""WITH RECURSIVE c AS (SELECT {name_tokens_sql('db_id')} AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
+r AS (SELECT rec_id, array_to_string(regexp_extract_all(strip_accents(lower(question)), '[a-z0-9]+'), ' ') AS q, {name_tokens_sql(NAMED_SQL)} AS k FROM d_retry_corrected),
+n AS (SELECT rec_id, q, coalesce(db, array_to_string(k, '')) AS db FROM r LEFT JOIN c USING (k)),
 p AS (SELECT DISTINCT q, db FROM n WHERE q <> ''),
 e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM p x JOIN p y ON x.q = y.q WHERE x.db <> y.db),
 t(a, b) AS (SELECT DISTINCT db, db FROM n UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),

@@ -1,44 +1,30 @@
-"""Clauses of a response and their features for the conditional random field."""
+"""Clauses of a response and their features for the conditional random field.
+
+Features are general: classes of tokens (SQL's own words, names of the schema, literals, other words), n-grams of the classes
+and of the other words' letters, the pattern of a statement's last condition, and how much of the question recurs. No list
+says what a refusal, another language or an unfinished statement looks like; the field learns that.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from tamis.functions.words import plain
+from tamis.llm.statements import SQL_WORDS, TOKENS
+
+LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "void")
 
-LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-
-SQL_WORDS = frozenset(
-    "select from where join inner left right full outer cross on as and or not in like between is null exists group by having order asc desc limit offset distinct count sum avg min max union all intersect except with case when then else end cast".split()
-)
-# Words that decline, by stem, in French, English, Spanish, German, Italian and Portuguese.
-REFUSING = re.compile(
-    r"\b(?:desole|navre|regrett|malheureuse|impossible|declin|refus|pas en mesure|ne peux pas|ne peut pas|ne pas generer|aucune reponse|ne sera|ne puis|pas autorise"
-    r"|sorry|apolog|unfortunate|cannot|can t|can not|unable|won t|will not|must decline|no query can|not able|not allowed"
-    r"|lo siento|disculp|desgracia|no puedo|no estoy|no me es posible|debo rechazar|lamento|rechaz"
-    r"|leider|bedau|tut mir leid|kann nicht|kann diese|darf nicht|ablehn|verweiger|nicht moglich"
-    r"|mi dispiace|purtroppo|spiacente|non posso|non e possibile|rifiut|desculp|infelizmente|nao posso)"
-)
-NATURAL = frozenset(
-    "le la les des du de un une est sont dont pour que qui dans avec sur par puis il elle faut ce cette au aux et ou je ne pas se plus lire garder renvoyer suffit"
-    " the of and to is are that which for with then where in rows whose those above show you would first next look keep return read compare what remains it this"
-    " el los las que con una hay leer filas donde quedarse mostrar es y por se al"
-    " der die das und ist man aus nimmt alle gibt dann ab mit ein eine zeilen wo den dem von"
-    " si il lo gli prendono le righe di dove poi mostra corrisponde oltre che una uno".split()
-)
-# SQL's words as a translation writes them.
-TRANSLATED = frozenset("seleccionar contar donde sélectionner selectionner compte depuis où ou et wähle wahle anzahl aus wobei und y de da dove seleziona conta scegli selecionar onde e agrupar ordenar grouper trier gruppiere sortiere por par nach ordina raggruppa limite".split())
-FORMAL = re.compile(r"\w\[|\]\]|\.\w+\(|\{\s*[$\w\"']+\s*:|==|&&?|\|>|%>%|=>|->|\bMATCH\s*\(|\bRETURN\b|\blambda\b|\bdef\b|\bimport\b|\bprint\(|//|\$\w|\bfor\b.+\bin\b.+:|@\w|</?\w+>")
-HEADS = re.compile(r"(?i)\b(?=(?:select|from|where|group\s+by|having|order\s+by|limit|except|union|intersect)\b)")
-TOKENS = re.compile(r"'(?:[^']|'')*'?|\"[^\"]*\"?|`[^`]*`?|\w+(?:\.\w*)?|[<>!=]+|…|\.{3}|\S")
+HEADS = frozenset("select from where group having order limit except union intersect".split())
 SENTENCES = re.compile(r"(?<=[.!?;:])\s+")
 WRAPPER = re.compile(r"(?is)^\s*(?:```[\w+-]*[^\S\n]*\n?|<(\w+)>|(?:sql(?:query)?|requ[eê]te|query|r[eé]ponse|answer)\s*:)")
 CLOSER = re.compile(r"(?is)(?:\n?\s*```|</\w+>)\s*$")
-COMMENT = re.compile(r"(?s)/\*(.*?)(?:\*/|$)|--([^\n]*)")
-PLACEHOLDERS = frozenset("todo none null nil nan na n a vide empty tbd xxx sql query requete reponse answer a completer completar undefined rien aucun aucune leer vacio pending fixme placeholder wip".split())
-DANGLING = frozenset("select from where join on as and or not in like between is group order by having limit offset distinct union all intersect except with inner left right outer when then else case".split())
-OPERATORS = frozenset(["=", "<", ">", "<=", ">=", "<>", "!=", "==", "like", "in", "is", "between", "exists"])
+COMMENT = re.compile(r"(?s)'(?:[^']|'')*'|/\*(.*?)(?:\*/|$)|--([^\n]*)")  # or a literal, where no comment begins
+_STATEMENT = re.compile(r"(?i)\(?\s*(?:select|with)\b")
+_LITERAL = re.compile(r"(?is)\(?\s*select\s+'(.*)'?\s*;?\s*$")
+_SEGMENT = frozenset("select from join on where and or having by limit offset except union intersect".split())
+_VALUE = re.compile(r"[^\W_]*\d[\w-]*")
 
 
 def unwrap(text: str | None) -> str:
@@ -61,76 +47,6 @@ def unwrap(text: str | None) -> str:
     return t
 
 
-def is_empty(text: str) -> bool:
-    """Nothing, or only a placeholder, is left of an unwrapped response."""
-    found = re.findall("[a-z]+|[0-9]+", plain(text)[:200])
-    return len(text) < 60 and len(found) <= 5 and all(w in PLACEHOLDERS for w in found)
-
-
-def open_state(statement: str, known: frozenset[str], asked: frozenset[str]) -> str:
-    """How a statement stands at its end: 'whole', or what it still lacks.
-
-    known: identifiers of the schema; asked: the numbers of the question.
-    """
-    s = statement.rstrip().rstrip(";").rstrip()
-    if not s:
-        return "whole"
-    if s.endswith(("...", "…", "[...]", "[…]")):
-        return "ellipsis"
-    tokens = TOKENS.findall(s)
-    low = [t.lower() for t in tokens]
-    last = low[-1]
-    if last[0] in "'\"`" and (len(last) == 1 or last[-1] != last[0] or (last[0] == "'" and last.count("'") % 2)):
-        return "quote"
-    if last in DANGLING or last in OPERATORS or last in ",(" or last[-1] == "." or last in "+-/":
-        return "dangling"
-    if low.count("(") > low.count(")"):
-        return "paren"
-    named = last[0].isalpha() or last[0] == "_"
-    if named and last not in ("asc", "desc", "null", "end"):
-        name = last.rpartition(".")[2]
-        if known and name not in known and low[:-1].count(last) + sum(t.endswith("." + name) or t == name for t in low[:-1]) == 0 and not re.fullmatch(r"t\d+", name):
-            return "unknown"
-        if "." not in last and re.fullmatch(r"t\d+", name) and len(low) > 1 and low[-2] != "as":
-            return "dangling"
-    depth, at = 0, len(low) - 1
-    while at >= 0:  # the last keyword outside the parentheses closed before the end
-        t = low[at]
-        depth += (t == ")") - (t == "(")
-        if depth == 0 and t in ("where", "and", "or", "on", "having", "from", "join", "select", "by", "limit", "except", "union", "intersect"):
-            break
-        at -= 1
-    if at >= 0:
-        rest, t, inside = [], low[at], 0
-        for x in low[at + 1 :]:
-            inside -= x == ")"
-            if not inside:
-                rest.append(x)
-            inside += x == "("
-        if t == "limit":
-            return "whole"
-        if t == "and" and at >= 2 and "between" in low[max(0, at - 3) : at]:
-            return _cut_number(last, asked)
-        if t in ("where", "and", "or", "on", "having"):
-            if not any(x in OPERATORS for x in rest):
-                return "nopredicate"
-            if "between" in rest:
-                return "dangling"
-        if t == "select" and not any(x[0] in "'\"" or x[0].isdigit() or x == "null" for x in rest):
-            return "nofrom"
-        if t == "join":
-            return "nojoin"
-        if t == "from":
-            return "fromend"
-    return _cut_number(last, asked)
-
-
-def _cut_number(last: str, asked: frozenset[str]) -> str:
-    if last.isdigit() and last not in asked and len(last) > 1 and any(n.startswith(last) for n in asked):
-        return "number"
-    return "whole"
-
-
 def _bucket(x: float, steps: tuple[float, ...]) -> int:
     return sum(x >= s for s in steps)
 
@@ -148,67 +64,160 @@ class Features:
         return [self.numbers.setdefault(n, len(self.numbers)) for n in names]
 
 
-def clauses(response: str, question: str | None, schema: str | None) -> list[tuple[list[str], int, bool, bool]]:
-    """The clauses of an unwrapped response: features, length, and whether it is a statement's, and a FROM clause."""
-    parts: list[tuple[str, bool]] = []
-    at = 0
-    for m in COMMENT.finditer(response) if ("--" in response or "/*" in response) else ():
-        parts += [(response[at : m.start()], False), (m[1] if m[1] is not None else m[2], True)]
-        at = m.end()
-    parts.append((response[at:], False))
-    pieces: list[tuple[str, bool, bool]] = []
-    for text, comment in parts:
-        text = text.strip()
-        if not text.strip(" ;\n\t"):
-            continue
-        if not comment and re.match(r"(?i)\(?\s*(?:select|with)\b", text):
-            cut = [c for c in HEADS.split(text) if c.strip()]
-            pieces += [(c, False, True) for c in cut]
-        else:
-            pieces += [(c, comment, False) for c in SENTENCES.split(text) if c.strip()]
-    asked_words: set[tuple[str, str]] | None = None
-    known: frozenset[str] | None = None
-    whole_code = " ".join(c for c, comment, _ in pieces if not comment)
+@lru_cache(maxsize=4096)
+def _names(schema: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", schema.lower()))
+
+
+@lru_cache(maxsize=4096)
+def _grams(word: str) -> tuple[str, ...]:
+    """A word and its runs of four letters."""
+    w = f"_{word}_"
+    return (f"w={word}", *(f"4={w[i : i + 4]}" for i in range(max(1, len(w) - 3))))
+
+
+def _classes(tokens: list[str], known: frozenset[str]) -> list[str]:
+    """The class of each token: SQL words, marks and operators as they are; I names of the schema or seen before, A aliases,
+    S and Q quoted, N numbers, W other words; s and q are quotes left open, I. a name without its second part."""
+    low = [t.lower() for t in tokens]
+    aliases = {low[i + 1] for i in range(len(low) - 1) if low[i] == "as"}
     out = []
-    for i, (text, comment, statement) in enumerate(pieces):
-        names = ["bias", "comment" if comment else "code"]
-        if i == 0:
-            names.append("first")
-        last = i == len(pieces) - 1
-        if last:
-            names.append("last")
-        head = text.lstrip("( ")[:9].split(None, 1)
-        head_word = head[0].lower() if head else ""
-        literal = statement and head_word == "select" and re.match(r"(?is)\(?\s*select\s+'(.*)'?\s*;?\s*$", text)
-        low = plain(text)
-        if statement and not literal:
-            names.append(f"head={head_word}")
-            found = re.findall("[a-z_]+", low) if head_word == "select" else []
-            if len(found) > 2 and (n := sum(w in NATURAL for w in found)) > 1:
-                names.append(f"natural={_bucket(n, (2, 3, 5))}")
+    before: set[str] = set()
+    for t in low:
+        first = t[0]
+        if first in "'\"`":
+            closed = len(t) > 1 and t[-1] == first and (first != "'" or t.count("'") % 2 == 0)
+            out.append(("S" if closed else "s") if first == "'" else "Q" if closed else "q")
+        elif first.isdigit():
+            out.append("N")
+        elif first.isalpha() or first == "_":
+            name = t.rpartition(".")[2]
+            out.append(t if t in SQL_WORDS else "I." if not name else "I" if name in known or not known or name in before else "A" if t in aliases else "W")
+            before.add(name)
         else:
-            names.append("free" if not literal else "literal")
-            found = re.findall("[a-z0-9_]+", low)
-            joined = " ".join(found)
-            names.append(f"refusing={_bucket(len(REFUSING.findall(joined)), (1, 2, 3))}")
-            names.append(f"natural={_bucket(sum(w in NATURAL for w in found), (1, 2, 4, 8))}")
-            names.append(f"formal={_bucket(len(FORMAL.findall(text)), (1, 2, 3))}")
-            names.append(f"sqlwords={_bucket(sum(w in SQL_WORDS for w in found), (1, 2, 4))}")
-            names.append(f"translated={_bucket(sum(w in TRANSLATED for w in found), (1, 2, 4))}")
-            shouted = sum(w.isupper() and len(w) > 1 and w.lower() not in SQL_WORDS for w in re.findall(r"\w+", text))
-            names.append(f"shouted={_bucket(shouted, (1, 3, 6))}")
-            if asked_words is None:
-                q = re.findall("[a-z0-9]+", plain(question))
-                asked_words = set(zip(q, q[1:], strict=False))
-            w = re.findall("[a-z0-9]+", low)
-            pairs = list(zip(w, w[1:], strict=False))
-            share = sum(p in asked_words for p in pairs) / max(1, len(pairs))
-            names.append(f"asked={_bucket(share, (0.01, 0.2, 0.4, 0.6, 0.8)) if len(pairs) > 2 else 'short'}")
-            names.append(f"long={_bucket(len(found), (3, 8, 20, 60))}")
-        if last and statement and not literal:
-            if known is None:
-                known = frozenset(re.findall(r"\w+", (schema or "").lower()))
-            state = open_state(whole_code, known, frozenset(re.findall(r"\d+", question or "")))
-            names += [f"state={state}", f"open={state != 'whole'}"]
-        out.append((names, len(text.strip()), statement and not literal, head_word == "from"))
+            out.append(t)
     return out
+
+
+def _last_class(token: str, kind: str, known: frozenset[str], asked: set[str]) -> str:
+    """A last token may be the beginning of a name, of a word of SQL or of a number asked for.
+
+    N= is a number asked for, or any where the question holds none; N< is the beginning of one.
+    """
+    low = token.lower()
+    if kind == "N":
+        return "N=" if low in asked or not asked else "N<" if any(a.startswith(low) for a in asked) else "N"
+    if kind == "W" and ((name := low.rpartition(".")[2]) and (any(k.startswith(name) for k in known) or any(k.startswith(name) for k in SQL_WORDS))):
+        return "P"
+    return kind
+
+
+def _end(tokens: list[str], kinds: list[str], asked: int, missing: int) -> list[str]:
+    """Features of a statement's end: its last condition or list, as far as the parenthesis it stands in."""
+    depth = 0
+    segment: list[str] = []
+    at = len(kinds) - 1
+    while at >= 0:
+        t = kinds[at]
+        if t == ")":
+            depth += 1
+            if depth == 1:
+                segment.append("()")
+        elif t == "(":
+            if depth == 0:  # the innermost that is open
+                segment.append("(")
+                break
+            depth -= 1
+        elif depth == 0:
+            segment.append(t)
+            if t in _SEGMENT and not (t == "and" and "between" in kinds[max(0, at - 3) : at]):
+                break
+        at -= 1
+    segment.reverse()
+    head = segment[0] if segment else ""
+    rest = segment[1:]
+    while len(rest) > 4 and rest[1] == ",":  # a list is as long as its last parts
+        rest = rest[2:]
+    last = kinds[-1]
+    lack = f"lack={_bucket(missing, (1, 2)) if missing < asked else 'all' if asked else 'none'}"
+    names = [f"last={last}", f"last2={' '.join(kinds[-2:])}", f"last3={' '.join(kinds[-3:])}", f"part={head}|{' '.join(rest[-6:])}", f"head={head}|{last}", f"{lack}|{head}|{last}"]
+    open_ = kinds.count("(") - kinds.count(")")
+    names.append(f"open={_bucket(open_, (1, 2))}")
+    if tokens[-1][0] not in "'\"`" and not tokens[-1][0].isalnum() and tokens[-1] not in (")", "*"):
+        names.append("mark")
+    return names
+
+
+def without_comments(response: str) -> tuple[str, list[str]]:
+    """The text outside comments, and the comments."""
+    if "--" not in response and "/*" not in response:
+        return response, []
+    comments: list[str] = []
+
+    def note(m: re.Match) -> str:
+        if m[1] is None and m[2] is None:
+            return m[0]
+        comments.append(m[1] if m[1] is not None else m[2])
+        return " "
+
+    return COMMENT.sub(note, response), comments
+
+
+def _statement(code: str, question: str | None, known: frozenset[str], first: bool) -> list[tuple[list[str], int, bool, bool]]:
+    """The clauses of a statement, cut before its head words."""
+    code = code.rstrip().rstrip(";").rstrip()
+    spans = [(m.start(), m[0]) for m in TOKENS.finditer(code)]
+    tokens = [t for _, t in spans]
+    kinds = _classes(tokens, known)
+    heads = [i for i, k in enumerate(kinds) if k in HEADS] or [0]
+    heads[0] = 0
+    out = []
+    for at, until in zip(heads, [*heads[1:], len(kinds)], strict=True):
+        part = kinds[at:until]
+        head = next((k for k in part if k in HEADS), "")
+        length = (spans[until][0] if until < len(spans) else len(code)) - spans[at][0]
+        names = ["bias", "code", *(["first"] if first and at == 0 else []), f"clause={head}", f"others={_bucket(part.count('W'), (1, 2, 4, 7))}", f"beside={any(a == b == 'W' for a, b in zip(part, part[1:], strict=False))}"]
+        out.append((names, length, True, head == "from"))
+    asked = set(_VALUE.findall((question or "").lower()))
+    if kinds[-2:-1] != ["limit"]:
+        kinds[-1] = _last_class(tokens[-1], kinds[-1], known, asked)
+    lower = code.lower()
+    out[-1][0].extend(["last", *_end(tokens, kinds, len(asked), sum(v not in lower for v in asked))])
+    return out
+
+
+def _free(text: str, kind: str, asked_pairs: set[tuple[str, str]], known: frozenset[str]) -> list[str]:
+    """Features of a clause that is no statement's."""
+    tokens = TOKENS.findall(text.replace("'", " ").replace('"', " "))
+    kinds = _classes(tokens, known)
+    spoken = [plain(t) if k == "W" else k for t, k in zip(tokens, kinds, strict=True)]
+    others = {t for t, k in zip(spoken, kinds, strict=True) if k == "W"}
+    sql = sum(k in SQL_WORDS for k in kinds)
+    marks = sum(not (k[0].isalnum() or k in ",.;:!?()…") for k in kinds)
+    short = [k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k]
+    names = [kind, f"names={_bucket(kinds.count('I'), (1, 2, 3, 5))}", f"numbers={_bucket(kinds.count('N'), (1, 2, 4))}", f"sql={_bucket(sql, (1, 2, 4))}", f"marks={_bucket(marks, (1, 2, 4, 8))}", f"long={_bucket(len(kinds), (2, 4, 8, 20, 60))}"]
+    names += sorted({f"kinds={a} {b}" for a, b in zip(short, short[1:], strict=False)})
+    names += sorted({g for w in others for g in _grams(w)}) + sorted({f"2={a} {b}" for a, b in zip(spoken, spoken[1:], strict=False)})
+    w = re.findall("[a-z0-9]+", plain(text))
+    pairs = list(zip(w, w[1:], strict=False))
+    share = sum(p in asked_pairs for p in pairs) / max(1, len(pairs))
+    return [*names, f"asked={_bucket(share, (0.01, 0.2, 0.4, 0.6, 0.8)) if len(pairs) > 2 else 'short'}"]
+
+
+def clauses(response: str, question: str | None, schema: str | None) -> list[tuple[list[str], int, bool, bool]]:
+    """The clauses of an unwrapped response, comments first: features, length, and whether it is a statement's, and a FROM clause."""
+    code, comments = without_comments(response)
+    known = _names(schema or "")
+    free = [(c, "comment") for text in comments for c in SENTENCES.split(text) if re.search(r"\w", c)]
+    literal = _LITERAL.match(code)
+    statement = not literal and _STATEMENT.match(code.lstrip())
+    if not statement:
+        free += [(c, "literal" if literal else "free") for c in SENTENCES.split(literal[1] if literal else code) if re.search(r"\w", c)]
+    out = []
+    if free:
+        q = re.findall("[a-z0-9]+", plain(question))
+        asked_pairs = set(zip(q, q[1:], strict=False))
+        for i, (text, kind) in enumerate(free):
+            names = ["bias", "comment" if kind == "comment" else "code", *(["first"] if i == 0 else []), *(["last"] if i == len(free) - 1 and not statement else [])]
+            out.append((names + _free(text, kind, asked_pairs, known), len(text.strip()), False, False))
+    return out + (_statement(code.strip(), question, known, not free) if statement else [])

@@ -11,17 +11,33 @@ class Sequences:
     def __init__(self, items: list[list[list[int]]]):
         self.lengths = np.array([len(s) for s in items], np.int64)
         self.steps = int(self.lengths.max(initial=0))
-        flat = [f for s in items for f in s]
-        self.item_of = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
-        self.features = np.fromiter((x for f in flat for x in f), np.int64, len(self.item_of))
         self.mask = np.arange(self.steps) < self.lengths[:, None]
-        self.n_items = len(flat)
+        number: dict[tuple[int, ...], int] = {}  # items with the same features are scored once
+        self.kind = np.array([number.setdefault(tuple(f), len(number)) for s in items for f in s], np.int64)
+        sizes = np.array([len(f) for f in number], np.int64)
+        self.n_kinds = len(number)
+        self.features = np.fromiter((x for f in number for x in f), np.int64, int(sizes.sum()))
+        self.kind_of = np.repeat(np.arange(self.n_kinds), sizes)
+        order = np.argsort(self.features, kind="stable")
+        self.kinds_by_feature = self.kind_of[order]
+        self.each_feature, self.feature_starts = np.unique(self.features[order], return_index=True)
+        self.some = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.some]
+
+    def sums(self, of_items: np.ndarray, n_features: int) -> np.ndarray:
+        """For each feature, the sum of its items' rows."""
+        out = np.zeros((n_features, of_items.shape[1]))
+        if len(self.features):
+            kinds = np.stack([np.bincount(self.kind, of_items[:, k], self.n_kinds) for k in range(of_items.shape[1])], axis=1)
+            out[self.each_feature] = np.add.reduceat(kinds[self.kinds_by_feature], self.feature_starts)
+        return out
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """(sequence, step, label) scores; 0 where padded."""
-        flat = np.zeros((self.n_items, weights.shape[1]))
-        for k in range(weights.shape[1]):
-            flat[:, k] = np.bincount(self.item_of, weights[self.features, k], self.n_items)
+        kinds = np.zeros((self.n_kinds, weights.shape[1]))
+        if len(self.features):
+            kinds[self.some] = np.add.reduceat(weights[self.features], self.starts)
+        flat = kinds[self.kind]
         out = np.zeros((*self.mask.shape, weights.shape[1]))
         out[self.mask] = flat
         return out
@@ -59,12 +75,14 @@ class ChainField:
             moves += (np.exp(np.minimum(0, both)) * (mask[:, t] * times)[:, None, None]).sum(axis=0)
         return single, moves
 
-    def fit(self, seq: Sequences, labels: np.ndarray, times: np.ndarray, rounds: int = 400, l2: float = 0.5, rate: float = 0.15) -> ChainField:
-        """labels: flat, one an item; times: how often each sequence occurs. Full-batch Adam on the penalised likelihood; the same data give the same field."""
-        n_labels = self.moves.shape[0]
-        seen = np.zeros_like(self.weights)
-        item_times = np.repeat(times, seq.lengths)
-        np.add.at(seen, (seq.features, labels[seq.item_of]), item_times[seq.item_of])
+    def fit(self, seq: Sequences, labels: np.ndarray, times: np.ndarray, rounds: int = 150, l2: float = 2.0, rate: float = 0.2, allowed: np.ndarray | None = None) -> ChainField:
+        """labels: flat, one an item; times: how often each sequence occurs. Full-batch Adam on the penalised likelihood; the same data give the same field.
+
+        allowed: which features may tell which labels (features by labels); by default all.
+        """
+        told = np.zeros((len(labels), self.moves.shape[0]))
+        told[np.arange(len(labels)), labels] = np.repeat(times, seq.lengths)
+        seen = seq.sums(told, len(self.weights))
         padded = np.full(seq.mask.shape, -1)
         padded[seq.mask] = labels
         a, b = padded[:, :-1], padded[:, 1:]
@@ -73,14 +91,20 @@ class ChainField:
         mean, square = [np.zeros_like(self.weights), np.zeros_like(self.moves)], [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         for i in range(1, rounds + 1):
             single, moves = self._marginals(seq, times)
-            flat = single[seq.mask]
-            expected = np.stack([np.bincount(seq.features, flat[seq.item_of, k], len(self.weights)) for k in range(n_labels)], axis=1)
-            for j, (w, g) in enumerate(((self.weights, seen - expected - l2 * self.weights), (self.moves, seen_moves - moves - l2 * self.moves))):
+            expected = seq.sums(single[seq.mask], len(self.weights))
+            step = seen - expected - l2 * self.weights
+            if allowed is not None:
+                step *= allowed
+            for j, (w, g) in enumerate(((self.weights, step), (self.moves, seen_moves - moves - l2 * self.moves))):
                 mean[j] = 0.9 * mean[j] + 0.1 * g
                 square[j] = 0.99 * square[j] + 0.01 * g * g
                 w += rate * (mean[j] / (1 - 0.9**i)) / (np.sqrt(square[j] / (1 - 0.99**i)) + 1e-6)
         return self
 
+    def likelihoods(self, seq: Sequences, label: int) -> np.ndarray:
+        """The probability of a label for each item, flat."""
+        return self._marginals(seq, np.ones(len(seq.lengths)))[0][seq.mask][:, label] if seq.steps else np.zeros(0)
+
     def tag(self, seq: Sequences) -> np.ndarray:
         """The best labels, flat (Viterbi)."""
         if not seq.steps:

@@ -1,11 +1,13 @@
 """Broken prompt and response pairs: each response's clauses are tagged by a conditional random field, and the
 coverage of the tags gives the pair's defect.
 
-The field is trained at every use on a bounded sample of the table's own records (TRAIN_ROWS, chosen by hash order):
-whole statements give answers, and copies of the question, refusals, prose or other formal languages, and statements
-cut at a hash-chosen place are made from them. Everything else covers all rows: every record is tagged.
+The field is trained at every use on a bounded sample of the table's own records (TRAIN_ROWS, chosen by hash order). Its
+statements, taken as they are, are answers; cut at hash-chosen characters they are unfinished, wherever the cut falls.
+Refusals, accounts in words, other formal or translated languages, copies of the question and placeholders are made for
+MADE_ROWS of them from the parts in wording.py, which combine freely. Which statement is open, which words refuse and which
+are a placeholder is left to the field. Everything else covers all rows: every record is tagged.
 
-Defects: 'empty' (nothing, or only a placeholder or wrapper), 'refusal', 'copy', 'language', 'truncated'. A response
+Defects: 'empty' (no clause, or placeholders only), 'refusal', 'copy', 'language', 'truncated'. A response
 with a whole statement over tables is no case, whatever its comments say. Null responses are empty. Null questions or
 schemas only lessen the features. Very long texts are read whole; repeated rows each give their row; an empty table
 gives no rows. If the sample holds no usable statement, a fixed example statement stands for it.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
@@ -24,63 +26,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.words import plain
-from tamis.llm.clauses import COMMENT, LABELS, Features, clauses, is_empty, open_state, unwrap
+from tamis.llm.clauses import LABELS, Features, clauses, unwrap, without_comments
 from tamis.llm.crf import ChainField, Sequences
+from tamis.llm.statements import TOKENS
+from tamis.llm.wording import ECHOES, FORMAL, PROSE, REFUSALS, TONGUES, VOID
 
 TRAIN_ROWS = 900
-ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-DEFECTS = {REFUSAL: "refusal", ECHO: "copy", FOREIGN: "language"}
-
-_REFUSALS = [
-    "Désolé, je ne peux pas répondre à cette demande.", "Je regrette, mais il est impossible d'écrire cette requête sans plus de détails sur {v}.", "Malheureusement, je dois refuser : {t} est protégée (dossier {v}).",
-    "Aucune réponse ne sera fournie pour {t} !", "En l'état, je préfère m'abstenir et ne pas générer de SQL.", "Cette demande ne peut pas aboutir.", "Je ne suis pas en mesure de traiter {t}",
-    "Sorry, I cannot help with this request.", "I'm unable to write SQL about {v}; please rephrase.", "Unfortunately, no query will be given as {t} is private.", "I must decline", "I apologize, but I won't answer this because {v} looks odd.",
-    "Aucune suite ne sera donnée à cette demande : le schéma de {t} est incomplet (dossier {v}).", "Navré, aucune réponse n'est possible : {t} ne suffit pas.", "Regrettably, I can't do this; please tell more about {v}.", "Je préfère ne pas répondre ici : la valeur {v} pose problème.",
-    "Lo siento, no puedo responder a esta pregunta.", "Por desgracia, debo rechazar la petición sobre {t}.", "Leider kann ich diese Anfrage nicht beantworten.", "Mi dispiace, non posso scrivere questa query su {t}.",
-]
-_PROSE = [
-    "Il faut lire la table {t}, garder les lignes où {c} vaut {v}, puis afficher {c2} au-delà de {n}.", "Il suffit de prendre {t} et de trier par {c}.", "On parcourt {t} puis on compare {c} avec {n} avant de renvoyer le reste.",
-    "You would take the rows of {t} whose {c} equals {v} and then show {c2} above {n}.", "First open {t} for the entry {v}; next, compare {c} with {n} and return what is left.", "Select the rows of {t} where the {c} is {v}, and then show {c2}.",
-    "Hay que abrir la tabla {t}, quedarse con las filas donde {c} es {v} y mostrar {c2} (límite {n}).", "Man nimmt alle Zeilen aus {t}, in denen {c} gleich {v} ist, und gibt dann {c2} aus (ab {n}).",
-    "Si prendono le righe di {t} dove {c} corrisponde a {v}; poi si mostra {c2} oltre {n}.", "The answer is the number of rows of {t} above {n}.",
-    'df_{t}[(df_{t}["{c}"] == "{v}") & (df_{t}.{c2} > {n})][["{c2}"]]', 'db.{t}.find({{{c}: "{v}", {c2}: {{$gt: {n}}}}}, {{{c2}: 1}})', 'MATCH (n:{t} {{{c}: "{v}"}}) WHERE n.{c2} > {n} RETURN n.{c2}', "for row in {t}: print(row.{c}) if row.{c2} > {n} else None",
-    "SELECCIONAR {c} DE {t} DONDE {c2} > {n} Y {c} = '{v}'", "SÉLECTIONNER COMPTE(*) DEPUIS {t} OÙ {c} = '{v}' ET {c2} <= {n}", "WÄHLE {c} AUS {t} WOBEI {c2} < {n} UND {c} = '{v}'", "SCEGLI {c} DA {t} DOVE {c2} < {n}",
-    "{t} |> filter({c} == \"{v}\") |> select({c2})", "//{t}[@{c}='{v}']/{c2}", "g.V().hasLabel('{t}').has('{c}', '{v}').values('{c2}')",
-]
-# SQL's keywords as translations write them.
-_TONGUES = [
-    {"select": "SELECCIONAR", "count": "CONTAR", "from": "DE", "where": "DONDE", "and": "Y", "join": "UNIR", "on": "SOBRE", "as": "COMO", "order by": "ORDENAR POR", "group by": "AGRUPAR POR", "between": "ENTRE", "not in": "NO EN"},
-    {"select": "SÉLECTIONNER", "count": "COMPTE", "from": "DEPUIS", "where": "OÙ", "and": "ET", "join": "JOINDRE", "on": "SUR", "as": "COMME", "order by": "TRIER PAR", "group by": "GROUPER PAR", "between": "ENTRE", "not in": "PAS DANS"},
-    {"select": "WÄHLE", "count": "ANZAHL", "from": "AUS", "where": "WOBEI", "and": "UND", "join": "VERBINDE", "on": "AUF", "as": "ALS", "order by": "SORTIERT NACH", "group by": "GRUPPIERT NACH", "between": "ZWISCHEN", "not in": "NICHT IN"},
-    {"select": "SELEZIONA", "count": "CONTA", "from": "DA", "where": "DOVE", "and": "E", "join": "UNISCI", "on": "SU", "as": "COME", "order by": "ORDINA PER", "group by": "RAGGRUPPA PER", "between": "TRA", "not in": "NON IN"},
-]
-_SQL_KEYS = re.compile(r"(?i)\b(" + "|".join(_TONGUES[0]) + r")\b")
-_SPARE = ("SELECT a FROM t WHERE b > 10", "Donne a de t où b dépasse 10 ?", "CREATE TABLE t (a TEXT, b INTEGER)")
+MADE_ROWS = 200
+CUTS = 4
+CUT_WEIGHT = 0.5
+LEAST_SEEN = 3
+DOUBT = 0.1
+ROUNDS = 90
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, VOID_ = range(6)
+DEFECTS = {REFUSAL: "refusal", ECHO: "copy", FOREIGN: "language", UNFINISHED: "truncated", VOID_: "empty"}
+
+_SPARE = ("Donne a de t où b dépasse 10 ?", "SELECT a FROM t WHERE b > 10", "CREATE TABLE t (a TEXT, b INTEGER)")
+_SQL_KEYS = re.compile(r"(?i)\b(" + "|".join(TONGUES[0]) + r")\b")
+
+
+def _pick(choices: Sequence, h: int, turn: int):
+    return choices[crc32(f"{h}:{turn}".encode()) % len(choices)]
+
+
+def _said(families: list[tuple[list[str], ...]], h: int, turn: int, fill: dict[str, str]) -> str:
+    parts = _pick(families[:2] if h & 1 else families, h, turn)
+    return "".join(_pick(part, h, turn + i + 1) for i, part in enumerate(parts)).format(**fill)
 
 
 def _made(question: str, sql: str, schema: str, h: int) -> Iterator[tuple[str, int]]:
-    """Responses made from a whole statement, each with the label of its own clauses."""
-    names = [w for w in plain(schema).replace("(", " ").split() if w.isidentifier() and len(w) > 3] or ["valeur"]
-    fill = {"t": names[h % len(names)], "c": names[(h >> 3) % len(names)], "c2": names[(h >> 6) % len(names)], "v": question.split()[(h >> 4) % max(1, len(question.split()))], "n": str(h % 90000)}
-    refusal = _REFUSALS[h % len(_REFUSALS)].format(**fill)
-    yield [refusal, f"-- {refusal}", f"/* {refusal} */\nSELECT NULL", f"SELECT '{refusal.replace(chr(39), chr(39) * 2)}'"][(h >> 5) % 4], REFUSAL
-    yield _PROSE[(h >> 2) % len(_PROSE)].format(**fill), FOREIGN
-    yield _PROSE[(h >> 7) % len(_PROSE)].format(**fill), FOREIGN
-    tongue = _TONGUES[(h >> 6) % len(_TONGUES)]
-    few = {k: tongue[k] for i, k in enumerate(tongue) if i < 5 or (h >> i) & 1}  # a translation may keep some keywords
-    translated = _SQL_KEYS.sub(lambda m: few.get(m[1].lower(), m[1]), sql)
-    yield translated.lower() if (h >> 8) % 8 == 0 else translated, FOREIGN
-    yield [question, f"-- {question}", plain(question), question.upper(), f"Question : {question}"][(h >> 3) % 5], ECHO
-    cut = 8 + h % max(1, len(sql) - 9)
-    tail = ["", "", "", "...", " [...]", "…"][(h >> 9) % 6]
-    yield sql[:cut].rstrip() + tail, UNFINISHED
-
-
-def _known(schema: str | None, question: str | None) -> tuple[frozenset[str], frozenset[str]]:
-    return frozenset(re.findall(r"\w+", (schema or "").lower())), frozenset(re.findall(r"\d+", question or ""))
-
-
-def train(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[ChainField, Features]:
+    """Responses that answer nothing, each with the label of its clauses."""
+    names = [w for w in dict.fromkeys(re.findall(r"\w+", plain(schema))) if len(w) > 3] or ["valeur"]
+    values = re.findall(r"'((?:[^']|'')+)'|\b(\d+)\b", sql) or [("x", "1")]
+    fill = {"t": _pick(names, h, 1), "c": _pick(names, h, 2), "d": _pick(names, h, 3), "v": "".join(_pick(values, h, 4)), "n": str(h % 90000)}
+    refusal = _said(REFUSALS, h, 10, fill)
+    refusal = refusal[:1].upper() + refusal[1:] + _pick(["", ".", " !", "."], h, 15)
+    for i in range(100, 600, 100):
+        yield _said(REFUSALS, h + i, i, fill), REFUSAL
+    yield _pick([refusal, refusal, f"-- {refusal}", f"/* {refusal} */\nSELECT NULL", "SELECT '" + refusal.replace("'", "''") + "'"], h, 16), REFUSAL
+    for i in (20, 120, 220, 320):
+        yield _said(PROSE, h + i, i, fill), FOREIGN
+    yield _pick(FORMAL, h, 30).format(**fill), FOREIGN
+    tongue = _pick(TONGUES, h, 40)
+    kept = {k for i, k in enumerate(tongue) if i > 4 and (h >> i) & 1}  # a translation may keep some of SQL's words
+    translated = _SQL_KEYS.sub(lambda m: m[1] if m[1].lower() in kept else tongue.get(" ".join(m[1].lower().split()), m[1]), sql)
+    yield translated.lower() if h % 7 == 0 else translated, FOREIGN
+    given_back = lambda q, turn: _pick(ECHOES, h, turn).format(q=q, s=q.replace("'", "''"), l=q.lower(), u=q.upper(), p=plain(q))
+    yield given_back(question, 50), ECHO
+    yield given_back(question, 51), ECHO
+    void = _pick(VOID, h, 60)
+    yield _pick(["{v}", "-- {v}", "/* {v} */", "{v}.", "({v})"], h, 61).format(v=void), VOID_
+
+
+def _cuts(sql: str, h: int) -> Iterator[str]:
+    """The statement cut CUTS times, after hash-chosen characters and tokens in turn, with what a transfer may leave."""
+    tokens = [m.end() for m in TOKENS.finditer(sql)][1:-1]
+    for i in range(CUTS):
+        turn = crc32(f"{h}:cut:{i}".encode())
+        at = tokens[turn % len(tokens)] if i % 2 and tokens else 7 + turn % max(1, len(sql) - 7)
+        if at < len(sql):
+            yield sql[:at].rstrip() + _pick(["", "", "", "", "...", " [...]", "…", " <cut>"], h, 70 + i)
+
+
+def train(rows: list[tuple[str | None, str | None, str | None]], made_rows: int = MADE_ROWS) -> tuple[ChainField, Features]:
     """rows: (question, response, schema)."""
     features = Features()
     seen: Counter = Counter()  # sequences of features and labels; many statements share theirs
@@ -93,18 +101,42 @@ def train(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[ChainF
         tags = tuple(ANSWER if (label == REFUSAL and statement) or (label == UNFINISHED and i < last) else label for i, (_, _, statement, _) in enumerate(found))
         seen[tuple(tuple(features(names)) for names, *_ in found), tags] += 1
 
-    for question, response, schema in [*rows, *[_SPARE[1:2] + _SPARE[:1] + _SPARE[2:]]]:
+    made = 0
+    for question, response, schema in [*rows, _SPARE]:
         question, response, schema = question or "", response or "", schema or ""
-        sql = COMMENT.sub(" ", unwrap(response)).strip().rstrip(";").strip()
-        known, asked = _known(schema, question)
-        if not (sql[:7].lower() == "select " and " from " in sql.lower().replace("\n", " ") and open_state(sql, known, asked) == "whole") or len(question) < 5:
+        sql = without_comments(unwrap(response))[0].strip().rstrip(";").strip()
+        if not re.match(r"(?is)(?:select|with)\b.*\bfrom\b", sql) or len(question) < 5:
             continue
+        h = crc32(response.encode())
         add(response, question, schema, ANSWER)
-        for made, label in _made(question, sql, schema, crc32(response.encode())):
-            if label != UNFINISHED or open_state(made, known, asked) != "whole":
-                add(made, question, schema, label)
-    field = ChainField(len(features.numbers), len(LABELS)).fit(Sequences([x for x, _ in seen]), np.array([t for _, tags in seen for t in tags]), np.array(list(seen.values()), float))
-    return field, Features(list(features.numbers))
+        for cut in _cuts(sql, h):
+            add(cut, question, schema, UNFINISHED)
+        if made < made_rows:
+            made += 1
+            for response_, label in _made(question, sql, schema, h):
+                add(response_, question, schema, label)
+    counts = Counter(f for (items, _), n in seen.items() for names in items for f in names for _ in range(n))
+    known = [n for n, i in features.numbers.items() if counts[i] >= LEAST_SEEN]
+    number = {features.numbers[n]: i for i, n in enumerate(known)}
+    kept: Counter = Counter()
+    for (items, tags), n in seen.items():
+        kept[tuple(tuple(number[f] for f in names if f in number) for names in items), tags] += n * (CUT_WEIGHT if tags[-1] == UNFINISHED else 1)
+
+    # What a text says tells nothing of whether it repeats the question.
+    allowed = np.ones((len(known), len(LABELS)))
+    allowed[[i for i, n in enumerate(known) if n.startswith(("w=", "4=", "2="))], ECHO] = 0
+
+    def fitted(field: ChainField, of: list, rounds: int) -> ChainField:
+        return field.fit(Sequences([x for x, _ in of]), np.array([t for _, tags in of for t in tags]), np.array([kept[x] for x in of], float), rounds, allowed=allowed)
+
+    field = fitted(ChainField(len(known), len(LABELS)), list(kept), ROUNDS // 2)
+    # The sample holds broken responses too: what the field itself is sure to be no answer is none to learn from.
+    answers = [x for x in kept if set(x[1]) == {ANSWER}]
+    likely = field.likelihoods(Sequences([x for x, _ in answers]), ANSWER)
+    starts = np.cumsum([0, *(len(t) for _, t in answers)])[:-1]
+    doubted = {x for x, p in zip(answers, np.minimum.reduceat(likely, starts) if answers else [], strict=True) if p < DOUBT}
+    field = fitted(field, [x for x in kept if x not in doubted], ROUNDS // 2)
+    return field, Features(known)
 
 
 def _tagger(key: str, question: str, response: str, schema: str, model):
@@ -115,13 +147,12 @@ def _tagger(key: str, question: str, response: str, schema: str, model):
         features = Features(names)
         for batch in batches:
             texts = [unwrap(t) for t in batch.column(response).to_pylist()]
-            empty = [is_empty(t) for t in texts]
-            found = [[] if e else clauses(t, q, s) for t, e, q, s in zip(texts, empty, batch.column(question).to_pylist(), batch.column(schema).to_pylist(), strict=True)]
+            found = [clauses(t, q, s) for t, q, s in zip(texts, batch.column(question).to_pylist(), batch.column(schema).to_pylist(), strict=True)]
             tags = field.tag(Sequences([[features(names) for names, *_ in f] for f in found]))
             defects: list[str | None] = []
             at = 0
-            for f, e in zip(found, empty, strict=True):
-                defects.append("empty" if e or not f else pair_defect(f, tags[at : at + len(f)]))
+            for f in found:
+                defects.append(pair_defect(f, tags[at : at + len(f)]) if f else "empty")
                 at += len(f)
             keep = pa.array([d is not None for d in defects])
             yield pa.RecordBatch.from_arrays([batch.column(key).filter(keep), pa.array([d for d in defects if d], pa.string())], [key, "defect"])
@@ -140,8 +171,7 @@ def pair_defect(found: list[tuple[list[str], int, bool, bool]], tags: np.ndarray
         cover[t] += length
     if cover[REFUSAL]:
         return "refusal"
-    best = int(cover.argmax())
-    return DEFECTS.get(best, "truncated" if best == UNFINISHED else None)
+    return DEFECTS.get(int(cover.argmax()))
 
 
 def _sample(df: DataFrame, key: str, response: str, rows: int) -> list:

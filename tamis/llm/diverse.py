@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.words import plain, word_text
-from tamis.llm.clauses import SQL_WORDS
+from tamis.llm.statements import SQL_WORDS
 
 BITS = 1024
 FAN = 32

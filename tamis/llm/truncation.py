@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.words import plain
-from tamis.llm.clauses import open_state
+from tamis.llm.statements import open_state
 from tamis.session import materialize
 
 ORDERS = (2, 4, 7, 11, 16, 24)

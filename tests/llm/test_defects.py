@@ -35,7 +35,7 @@ def tagged(spark):
         250: ("```sql\nSELECT nom FROM bateau WHERE tonnage > 5000\n```", None), 251: ("/* cannot use an index */ SELECT nom FROM bateau WHERE tonnage > 5000", None), 252: ("SELECT ville FROM port WHERE port_id = 3", None),
     }
     asked = {252: "Quelle ville a le port 3 ?"}
-    rows = whole + [(k, asked.get(k, QUESTION), s, SCHEMA) for k, (s, _) in odd.items()] + [(300, None, "SELECT nom FROM bateau WHERE tonnage > 1", None), (301, None, None, None), (302, QUESTION, "SELECT nom FROM bateau WHERE nom IN (" + ", ".join(f"'{i}'" for i in range(20000)) + ")", SCHEMA)]
+    rows = whole + [(k, asked.get(k, QUESTION), s, SCHEMA) for k, (s, _) in odd.items()] + [(300, None, "SELECT ville FROM port WHERE port_id = 1", None), (301, None, None, None), (302, QUESTION, "SELECT nom FROM bateau WHERE nom IN (" + ", ".join(f"'{i}'" for i in range(20000)) + ")", SCHEMA)]
     df = spark.createDataFrame(rows, "k bigint, q string, r string, s string").selectExpr("*", "1 AS defect")
     return {r["k"]: r["defect"] for r in broken_pairs(df, "k", "q", "r", "s").collect()}, {k: d for k, (_, d) in odd.items()}
 
@@ -97,7 +97,7 @@ def test_ends_of_statements():
     assert {"last=N<", "lack=all|where|N<"} <= last("SELECT nom FROM bateau WHERE tonnage > 50", "plus de 5000 ?")
     assert {"last=N=", "lack=0|where|N="} <= last("SELECT nom FROM bateau WHERE tonnage > 5000", "plus de 5000 ?")
     assert {"last=P", "open=1"} <= last("SELECT nom FROM bateau WHERE id IN (SELECT por")
-    assert "part=where|I between N and N" in last("SELECT nom FROM bateau WHERE tonnage BETWEEN 1 AND 2") and "last=N" in last("SELECT nom FROM bateau LIMIT 5", "50 ?")
+    assert "part=where|I between N and N=" in last("SELECT nom FROM bateau WHERE tonnage BETWEEN 1 AND 2") and "last=N" in last("SELECT nom FROM bateau LIMIT 5", "50 ?")
 
 
 def test_field_learns_and_its_gradient_is_right():

@@ -26,14 +26,10 @@ def read_only(sql: str | None) -> bool:
     return s.startswith(("SELECT ", "WITH ", "SELECT\n", "WITH\n")) or s in ("SELECT", "WITH")
 
 
-def run_sqlite(path: str, sql: str | None, timeout: float = TIMEOUT_S, most_rows: int | None = None) -> tuple[bool, list[list[str]] | None, str | None]:
-    """(ok, tagged rows, error) of one statement on a file opened read-only; bad UTF-8 is replaced."""
+def run_on(db: sqlite3.Connection, sql: str | None, timeout: float = TIMEOUT_S, most_rows: int | None = None) -> tuple[bool, list[list[str]] | None, str | None]:
+    """(ok, tagged rows, error) of one statement; bad UTF-8 is replaced."""
     if not read_only(sql):
         return False, None, "not read-only"
-    try:
-        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    except sqlite3.Error as e:
-        return False, None, str(e)
     try:
         db.text_factory = lambda raw: raw.decode("utf-8", "replace")
         db.execute("PRAGMA query_only = ON")
@@ -42,27 +38,84 @@ def run_sqlite(path: str, sql: str | None, timeout: float = TIMEOUT_S, most_rows
         cursor = db.execute(sql)
         rows = cursor.fetchall() if most_rows is None else cursor.fetchmany(most_rows)
         return True, [[cell(x) for x in r] for r in rows], None
-    except sqlite3.Error as e:
+    except (sqlite3.Error, sqlite3.Warning) as e:
         return False, None, f"timeout after {timeout:g} s" if "interrupt" in str(e).lower() else str(e)
+
+
+def run_sqlite(path: str, sql: str | None, timeout: float = TIMEOUT_S, most_rows: int | None = None) -> tuple[bool, list[list[str]] | None, str | None]:
+    """The same on a file, opened read-only."""
+    if not read_only(sql):
+        return False, None, "not read-only"
+    try:
+        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    except sqlite3.Error as e:
+        return False, None, str(e)
+    try:
+        return run_on(db, sql, timeout, most_rows)
     finally:
         db.close()
 
 
+def _outcomes(dbs: list, sqls: list, run: Callable) -> Iterator[pa.RecordBatch]:
+    """Results in batches of bounded size, since a statement may give many rows."""
+    out, cells = [], 0
+    for db, sql in zip(dbs, sqls, strict=True):
+        began = time.monotonic()
+        ok, rows, error = run(db, sql)
+        out.append({"db_id": db, "sql": sql, "ok": ok, "rows": rows, "error": error, "ms": round((time.monotonic() - began) * 1000, 2)})
+        cells += sum(map(len, rows or ()))
+        if cells > 1_000_000:
+            yield from pa.Table.from_pylist(out, _ARROW).to_batches()
+            out, cells = [], 0
+    if out:
+        yield from pa.Table.from_pylist(out, _ARROW).to_batches()
+
+
 def execute_sqlite(queries: DataFrame, path_of: Callable[[str], str], timeout: float = TIMEOUT_S, most_rows: int | None = None) -> DataFrame:
     """Runs each distinct (db_id, sql) once, on the executors (X1-X4). path_of must name files they can reach."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for db, sql in zip(batch.column("db_id").to_pylist(), batch.column("sql").to_pylist(), strict=True):
-                began = time.monotonic()
-                ok, rows, error = run_sqlite(path_of(db), sql, timeout, most_rows)
-                out.append({"db_id": db, "sql": sql, "ok": ok, "rows": rows, "error": error, "ms": round((time.monotonic() - began) * 1000, 2)})
-            yield from pa.Table.from_pylist(out, _ARROW).to_batches()
+            yield from _outcomes(*(batch.column(c).to_pylist() for c in ("db_id", "sql")), lambda db, sql: run_sqlite(path_of(db), sql, timeout, most_rows))
 
     return queries.select("db_id", "sql").distinct().mapInArrow(run, RESULT)
 
 
+def execute_built(queries: DataFrame, databases: DataFrame, timeout: float = TIMEOUT_S, most_rows: int | None = None) -> DataFrame:
+    """Runs each distinct (db_id, sql) once, on databases that the executors build in memory (X1-X4).
+
+    databases: db_id, script (DDL and INSERT statements), one small database a row. Statements are spread by hash, so a
+    database that most of them ask is built in every task; within a task they are sorted, so each is built once there.
+    A statement without a database, or with a script that fails, is not ok.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: str | None = None
+        db: sqlite3.Connection | None = None
+        fault: str | None = None
+        for batch in batches:
+            scripts = dict(zip(batch.column("db_id").to_pylist(), batch.column("script").to_pylist(), strict=True))
+
+            def ask(name: str, sql: str) -> tuple[bool, list[list[str]] | None, str | None]:
+                nonlocal now, db, fault
+                if db is None or name != now:
+                    if db is not None:
+                        db.close()
+                    now, fault, db = name, None, sqlite3.connect(":memory:")
+                    try:
+                        if scripts[name] is None:
+                            raise sqlite3.Error("unknown database")
+                        db.executescript(scripts[name])
+                    except sqlite3.Error as e:
+                        fault = str(e)
+                return (False, None, fault) if fault else run_on(db, sql, timeout, most_rows)
+
+            yield from _outcomes(batch.column("db_id").to_pylist(), batch.column("sql").to_pylist(), ask)
+
+    asked = queries.select("db_id", "sql").distinct().join(databases.select("db_id", "script"), "db_id", "left")
+    return asked.sortWithinPartitions("db_id").mapInArrow(run, RESULT)
+
+
 # The reasons for which a statement is refused.
 REASONS = ("sql_not_read_only", "database_missing", "sql_execution_timeout", "sql_execution_error", "spider_parse_error")
 

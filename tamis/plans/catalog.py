@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested_queries", "relational_queries", "text_queries", "record_queries", "quota_queries", "metric_queries", "run_queries")
+MODULES = ("nested_queries", "relational_queries", "text_queries", "record_queries", "quota_queries", "metric_queries", "run_queries", "source_queries")
 
 
 def collect(package: str = "tamis.plans", modules: tuple[str, ...] = MODULES) -> tuple[dict, dict]:

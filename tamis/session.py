@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,17 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (local tests) one is made here."""
+    """The folder named in spark.checkpoint.dir. Only where that is unset and the master is local one is made here.
+
+    A folder of this machine is none that executors elsewhere could read, so on a cluster without one this raises.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tamis-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -57,7 +63,7 @@ def _clean() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    It survives the loss of executors and cuts lineage; it is deleted when the driver ends.
+    It survives the loss of executors and cuts lineage; it is deleted when the driver ends, or by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamis/{name}-{uuid.uuid4().hex}"
@@ -66,5 +72,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing still to be computed reads, so that a long session doesn't fill the disk."""
+    for df in tables:
+        folders = {"/".join(f.split("/")[:-1]) for f in df.inputFiles()}
+        for entry in [e for e in _written if any(f.endswith(e[1].split("://")[-1].removeprefix("file:")) for f in folders)]:
+            _delete(*entry)
+            _written.remove(entry)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

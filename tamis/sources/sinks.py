@@ -45,8 +45,21 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("sha256"))
 
 
+# What a statement that creates or fills a table does inside SQLite, its own catalogue included.
+_ALLOWED = frozenset(getattr(sqlite3, n) for n in ("SQLITE_CREATE_TABLE", "SQLITE_CREATE_INDEX", "SQLITE_INSERT", "SQLITE_READ", "SQLITE_SELECT", "SQLITE_TRANSACTION", "SQLITE_REINDEX"))
+
+
+def _authorize(action: int, first: str | None, *_: str | None) -> int:
+    """Only creation and insertion; changes only to SQLite's own catalogue, no functions, attached files or pragmas (U3)."""
+    own = action == sqlite3.SQLITE_UPDATE and first == "sqlite_master"
+    return sqlite3.SQLITE_OK if own or action in _ALLOWED else sqlite3.SQLITE_DENY
+
+
 def build_sqlite(path: str, ddl: list[str], inserts: list[str], tables: tuple[int, int] = (4, 8), least_rows: int = 10) -> None:
-    """A database of CREATE TABLE and INSERT statements only, checked for keys, table count and rows (SNK6)."""
+    """A database of CREATE TABLE and INSERT statements only, checked for keys, table count and rows (SNK6).
+
+    A statement that does anything else is refused, by its first words and by SQLite's authorizer.
+    """
     for statements, prefix in ((ddl, "create table"), (inserts, "insert into")):
         for s in statements:
             if not s.strip().lower().startswith(prefix) or re.search(r"(?i)\b(attach|pragma|drop|delete|update|alter|trigger)\b", s.split("(")[0]):
@@ -57,8 +70,10 @@ def build_sqlite(path: str, ddl: list[str], inserts: list[str], tables: tuple[in
     db = sqlite3.connect(path)
     try:
         db.execute("PRAGMA foreign_keys = OFF")
+        db.set_authorizer(_authorize)
         for s in [*ddl, *inserts]:
             db.execute(s)
+        db.set_authorizer(None)
         if broken := db.execute("PRAGMA foreign_key_check").fetchall():
             raise PolicyError(f"rows without parent: {broken[:3]}")
         names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]

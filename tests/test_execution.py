@@ -1,13 +1,17 @@
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators.compare import _columns_match, bags_equal, cell, strictly_equal
-from tamis.operators.execute import check_statements, execute_spark, execute_sqlite, run_sqlite, score
+from tamis.operators.execute import check_statements, execute_built, execute_spark, execute_sqlite, run_sqlite, score
 from tamis.sources import jsonl, sinks
 from tamis.sources.gpu import gpu_stats
+from tamis.sources.jobs import Jobs
+from tamis.sources.paged import PagedSource, write_pages
 from tamis.sources.sqlite import SqliteSource, inspect, sample_text
+from tamis.streaming.sampler import Sampler
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +70,10 @@ def test_sqlite_policy(tmp_path):
     assert not (tmp_path / "b.sqlite").exists()
     with pytest.raises(sqlite3.Error):
         sinks.build_sqlite(str(tmp_path / "c.sqlite"), ["CREATE TABLE x"], [])
+    for insert in ("INSERT INTO x SELECT load_extension('y')", "INSERT INTO x SELECT * FROM pragma_database_list", "INSERT INTO x VALUES (1) ON CONFLICT DO UPDATE SET a = 2"):
+        with pytest.raises(sqlite3.Error):  # what the first words don't show
+            sinks.build_sqlite(str(tmp_path / "d.sqlite"), ["CREATE TABLE x (a INT PRIMARY KEY)"], [insert], tables=(1, 1), least_rows=0)
+    assert not (tmp_path / "d.sqlite").exists()
 
 
 def test_json_files(spark, tmp_path):
@@ -121,3 +129,51 @@ def test_large_results_are_compared_whole(spark):
     results = execute_spark(spark, [("d", s) for s in sorted({s for a, b, _ in pairs for s in (a, b)})], most_rows=10)
     got = {r["id"]: (r["strict"], r["bag"], r["permuted"]) for r in score(p, g, results).collect()}
     assert got == {str(i): w for i, (_, _, w) in enumerate(pairs)}
+
+
+def test_built_databases(spark):
+    databases = spark.createDataFrame([("a", "CREATE TABLE t (x INT); INSERT INTO t VALUES (1), (2);"), ("b", "CREATE TABLE broken ("), ("c", None)], "db_id string, script string")
+    asked = spark.createDataFrame([("a", "SELECT sum(x) FROM t"), ("a", "SELECT x FROM t"), ("a", "SELECT y FROM t"), ("a", "DROP TABLE t"), ("b", "SELECT 1"), ("c", "SELECT 1"), ("d", "SELECT 1"), ("a", None)], "db_id string, sql string")
+    got = {(r["db_id"], r["sql"]): (r["ok"], r["rows"]) for r in execute_built(asked.union(asked).repartition(3), databases).collect()}
+    assert len(got) == 8 and got["a", "SELECT sum(x) FROM t"] == (True, [["i:3"]]) and got["a", "SELECT x FROM t"] == (True, [["i:1"], ["i:2"]])
+    assert sum(ok for ok, _ in got.values()) == 2
+
+
+def test_jobs_go_on_where_they_stopped(spark, tmp_path):
+    requests = spark.createDataFrame([("j1", 1), ("j1", 2), ("j2", 3), (None, 4)], "name string, n int")
+    jobs = Jobs(spark, f"file://{tmp_path}/jobs")
+    assert jobs.states().count() == 0 and jobs.submit(requests, "name") == ["j1", "j2"] and jobs.submit(requests, "name") == []
+    assert jobs.poll() == {"j1": "running", "j2": "running"} and jobs.download("n int").count() == 0
+    done = tmp_path / "jobs" / "answers" / "job=j1"
+    done.mkdir(parents=True)
+    (done / "a.json").write_text('{"n": 10}\n{"n": 20}\n')
+    assert jobs.poll()["j1"] == "running"  # not complete yet
+    (done / "_SUCCESS").touch()
+    (tmp_path / "jobs" / "failed").mkdir()
+    (tmp_path / "jobs" / "failed" / "j2").write_text("quota")
+    again = Jobs(spark, f"file://{tmp_path}/jobs")  # another driver
+    assert again.wait(every=0.01, most=60) == {"j1": "completed", "j2": "failed"}
+    assert sorted(tuple(r) for r in again.download("n int").select("job", "n").collect()) == [("j1", 10), ("j1", 20)]
+    assert {r["job"]: (r["step"], r["reason"]) for r in again.states().collect()} == {"j1": (2, None), "j2": (2, "quota")}
+    with pytest.raises(TimeoutError):
+        again.submit(requests.replace("j1", "j3", "name"), "name") and again.wait(every=0.01, most=0)
+
+
+def test_pages(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 3 else f"x{i}") for i in range(23)], "i int, s string")
+    assert write_pages(df, str(tmp_path / "p"), 5, "i") == 5 and write_pages(df.limit(0), str(tmp_path / "q"), 5, "i") == 1
+    spark.dataSource.register(PagedSource)
+    read = lambda at: spark.read.format("pages").schema("i int, s string").option("path", str(tmp_path / at)).load()
+    assert sorted(map(tuple, read("p").collect())) == sorted(map(tuple, df.collect())) and read("q").count() == 0
+    (tmp_path / "p" / "page-4.json").write_text('{"items": [], "next": "first"}')
+    with pytest.raises(Exception, match="twice"):
+        read("p").count()
+
+
+def test_sampler():
+    with Sampler(lambda: 1 / 0 if len(s.samples) == 1 else "v", every=0.01, most=3) as s:
+        time.sleep(0.2)
+    assert len(s.samples) == 3 and all(v == "v" for _, v in s.samples)
+    n = s.samples[-1][0]
+    time.sleep(0.05)
+    assert s.samples[-1][0] == n

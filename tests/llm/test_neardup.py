@@ -1,12 +1,14 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tamis.functions.words import words
 from tamis.llm import neardup
-from tamis.llm.neardup import least_matches, record_nodes, similar_nodes, similar_records
+from tamis.llm.neardup import frequency_levels, least_matches, record_nodes, similar_nodes, similar_records
 from tamis.llm.shingles import pair_sets, word_hashes
+from tamis.session import materialize
 
 
 def _pairs(rows, t):
@@ -45,6 +47,29 @@ def test_hot_lists_are_spread(spark, monkeypatch):
     assert {tuple(r) for r in similar_records(df, "k", ["a", "b"], 0.65).collect()} == _pairs(rows, 0.65)
 
 
+@pytest.mark.parametrize("bits", [16, 20])
+def test_full_sketches_and_trees_lose_nothing(spark, monkeypatch, bits):
+    """With few counters every one holds collisions and all word pairs seem hot; the exact counts keep lists whole and apart."""
+    monkeypatch.setattr(neardup, "BLOCK_BITS", 2)
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "FAN", 2)
+    rows = _rows(6, 160)
+    df = spark.createDataFrame(rows, "k bigint, a string, b string").repartition(9)
+    nodes = materialize(record_nodes(df, "k", ["a", "b"]).repartition(9), "nodes")
+    want = {(x["a"], x["b"]) for x in similar_nodes(df, nodes, "k", ["a", "b"], 0.65).collect()}
+    assert {(x["a"], x["b"]) for x in similar_nodes(df, nodes, "k", ["a", "b"], 0.65, bits=bits - 14).collect()} == want and len(want) > 20
+    if bits == 16:  # hashes of two bytes: most word pairs agree with others
+        monkeypatch.setattr(neardup, "KEPT", 2)
+        coarse = materialize(record_nodes(df, "k", ["a", "b"]), "coarse")
+        assert {(x["a"], x["b"]) for x in similar_nodes(df, coarse, "k", ["a", "b"], 0.65, bits=8).collect()} == want
+        monkeypatch.setattr(neardup, "KEPT", 6)
+    levels = frequency_levels(nodes, bits)
+    pairs = pair_sets([[r[1] for r in rows], [r[2] for r in rows]])
+    sets = {i: set(pairs[0][pairs[1] == i].tolist()) for i in range(len(rows))}
+    counts = Counter(p >> (64 - bits) for s in {frozenset(s) for s in sets.values()} for p in s)
+    assert all((levels[p] <= 1) == (n <= 1) or levels[p] > 1 for p, n in counts.items()) and (levels > 0).sum() == len(counts)
+
+
 def test_copies_are_one_node(spark):
     rows = [(i, "the same few words here", "select x from y") for i in range(300)] + [(1000, "the same few words there", "select x from y")]
     df = spark.createDataFrame(rows, "k bigint, a string, b string")

@@ -13,6 +13,10 @@ How values of several shapes are read:
 Records that aren't valid JSON (null, empty or broken text) give no row. An empty table gives an empty root table.
 Rows that share a key value each give their rows; surrogate keys are unique as far as the given key is.
 Only the key and the JSON column are read, so other columns may have any name.
+
+Keys that are data (an object with an id as each key) make the schema as large as the data. Then the fields to read are
+named: `fields` gives their paths, lists passed through, and only what lies on or below them is inferred; all else may have
+any number of keys. Without fields more than MAX_PATHS different paths raise. Tasks send their paths on in parts of FLUSH.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 ELEMENT, ENCODED = 0, 1  # marks in a path: an element of a list; JSON held as text
 MAX_PATHS = 200_000
+FLUSH = 50_000
 
 
 @dataclass
@@ -89,41 +94,66 @@ def _kind(x: object) -> str:
     return {dict: "object", list: "array", float: "float"}.get(type(x), "string")
 
 
-def _walk(record: object, seen: Counter) -> None:
-    todo: list[tuple[tuple, object]] = [((), record)]
+def _walk(record: object, seen: Counter, wanted: dict | None) -> None:
+    """Counts the paths of a record; wanted: the named fields as nested dicts, where an empty one wants all below."""
+    todo: list[tuple[tuple, object, dict | None]] = [((), record, wanted)]
     while todo:
-        path, x = todo.pop()
+        path, x, below = todo.pop()
         seen[path, _kind(x)] += 1
         if isinstance(x, dict):
-            todo += [((*path, k), v) for k, v in x.items()]
+            if below:
+                todo += [((*path, k), x[k], below[k]) for k in below if k in x]
+            else:
+                todo += [((*path, k), v, None) for k, v in x.items()]
         elif isinstance(x, list):
-            todo += [((*path, ELEMENT), v) for v in x]
+            todo += [((*path, ELEMENT), v, below) for v in x]
         elif isinstance(x, str) and x[:1] == "{" and ENCODED not in path:
             try:
                 inner = json.loads(x)
             except ValueError:
                 continue
-            todo.append(((*path, ENCODED), inner))
-
-
-def _inventory(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            try:
-                _walk(json.loads(raw), seen)
-            except (ValueError, TypeError, RecursionError):
-                continue
-    rows = [(json.dumps(p), k, n) for (p, k), n in seen.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "kind", "n"])
+            todo.append(((*path, ENCODED), inner, below))
 
 
-def infer_schema(df: DataFrame, column: str) -> Node:
-    """The merged schema of all records."""
-    found = df.select(F.col(column)).mapInArrow(_inventory, "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n"))
-    rows = found.limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} distinct paths: keys seem to be data; name the fields to read")
+def _tree(fields: Iterable[Iterable[str]] | None) -> dict | None:
+    """Named fields as nested dicts; a field below another named one is part of it."""
+    paths = sorted(map(tuple, fields or ()), key=len)
+    kept = [p for i, p in enumerate(paths) if not any(p[: len(q)] == q for q in paths[:i])]
+    root: dict = {}
+    for path in kept:
+        at = root
+        for step in path:
+            at = at.setdefault(step, {})
+    return root or None
+
+
+def _inventory(wanted: dict | None):
+    def rows(seen: Counter) -> pa.RecordBatch:
+        found = [(json.dumps(p), k, n) for (p, k), n in seen.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "kind", "n"])
+
+    def inventory(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                try:
+                    _walk(json.loads(raw), seen, wanted)
+                except (ValueError, TypeError, RecursionError):
+                    continue
+                if len(seen) > FLUSH:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
+
+    return inventory
+
+
+def infer_schema(df: DataFrame, column: str, fields: Iterable[Iterable[str]] | None = None, most: int = MAX_PATHS) -> Node:
+    """The merged schema of all records, or of the named fields."""
+    found = df.select(F.col(column)).mapInArrow(_inventory(_tree(fields)), "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n"))
+    rows = found.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} different paths: keys seem to be data; name the fields to read with fields=[('a', 'b'), ...]")
     root = Node()
     for r in rows:
         at = root
@@ -170,8 +200,8 @@ def _element(path: str):
 class NestedRecords:
     """The flat tables of the JSON records in a column; key names the column that identifies a record."""
 
-    def __init__(self, df: DataFrame, column: str, key: str):
-        self.schema = infer_schema(df, column)
+    def __init__(self, df: DataFrame, column: str, key: str, fields: Iterable[Iterable[str]] | None = None):
+        self.schema = infer_schema(df, column, fields)
         self.key = key
         # The parser stops after the first value; as a list's first of two elements the text must be one whole value.
         pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(",0]"))), "$", "array<variant>")

@@ -9,13 +9,17 @@ from tamis.operators.nested import Node, NestedRecords
 from tamis.session import table
 
 
-def _records(spark: SparkSession, sf_dir: str) -> NestedRecords:
-    return NestedRecords(table(spark, sf_dir, "batch_responses"), "raw", "line_id")
+# What p1_found reads; keys elsewhere may be as many as they like.
+_FIELDS = [("custom_id",), ("response", "body", "status"), ("response", "body", "incomplete_details"), ("response", "body", "output"), ("response", "body", "choices")]
+
+
+def _records(spark: SparkSession, sf_dir: str, fields: list[tuple[str, ...]] | None = None) -> NestedRecords:
+    return NestedRecords(table(spark, sf_dir, "batch_responses"), "raw", "line_id", fields)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per content block; items without blocks and responses without items give -1."""
-    n = _records(spark, sf_dir)
+    n = _records(spark, sf_dir, _FIELDS)
     text = lambda *path: F.coalesce(n.value(F.col("_v"), n.schema, path, "string"), F.lit(""))
     details = ("response", "body", "incomplete_details")
     told = n.value(F.col("_v"), n.schema, (*details, "reason"), "string")

@@ -1,6 +1,10 @@
 import json
 
-from tamis.operators.nested import NestedRecords
+import pytest
+from pyspark.sql import functions as F
+
+from tamis.operators import nested
+from tamis.operators.nested import NestedRecords, infer_schema
 
 
 def _lines(spark, *lines):
@@ -50,3 +54,26 @@ def test_empty_table_and_long_text(spark):
     long = json.dumps({"t": "é" * 300_000, "l": list(range(2000))})
     t = NestedRecords(_lines(spark, long, long), "raw", "k").tables()
     assert t["l"].count() == 4000 and len(t[""].first()["t"]) == 300_000
+
+
+def test_named_fields_get_past_keys_that_are_data(spark):
+    lines = [json.dumps({f"id{i}": {"x": 1}, "a": {f"k{i}": 0, "b": [{"c": i}, {"c": str(i)}]}, "t": {"u": i, "v": 1} if i % 2 else json.dumps({"u": i})}) for i in range(300)]
+    df = _lines(spark, *lines)
+    fields = [("a", "b"), ("t", "u"), ("a", "b", "c"), ("none", "here")]
+    few = infer_schema(df, "raw", fields, most=20)
+    every = infer_schema(df, "raw")
+    assert set(few.children) == {"a", "t"} and set(few.children["a"].children) == {"b"} and len(every.children) == 302
+    assert few.children["a"].children["b"].element.children["c"].kinds == every.children["a"].children["b"].element.children["c"].kinds
+    with pytest.raises(ValueError, match="fields"):
+        infer_schema(df, "raw", most=20)
+    n = NestedRecords(df, "raw", "k", fields)
+    rows = n.explode(n.root, n.schema, ("a", "b")).select("_key", "_ordinal", n.value(F.col("_v"), n.node(("a", "b")).element, ("c",)).alias("c")).collect()
+    assert len(rows) == 600 and {r["c"] for r in rows} == {str(i) for i in range(300)}
+    assert n.root.select(n.value(F.col("_v"), n.schema, ("t", "u")).alias("u")).distinct().count() == 300
+
+
+def test_an_inventory_in_parts_is_the_same(spark, monkeypatch):
+    lines = [json.dumps({f"k{i % 40}": {"x": i, "y": [i, None]}}) for i in range(200)]
+    whole = infer_schema(_lines(spark, *lines), "raw")
+    monkeypatch.setattr(nested, "FLUSH", 3)
+    assert infer_schema(_lines(spark, *lines), "raw") == whole

@@ -44,13 +44,14 @@ class HeldOut:
         self.vocabulary = np.unique(self.words)
 
 
-def _packed(words: np.ndarray, starts: np.ndarray, least: int) -> list[np.ndarray]:
-    """The first words of each suffix as few sortable keys; a word number has at most 21 bits."""
+def _packed(words: np.ndarray, starts: np.ndarray, least: int, bits: int) -> list[np.ndarray]:
+    """The first words of each suffix as few sortable keys of whole word numbers, of so many bits each."""
     keys = []
-    for at in range(0, least, 3):
+    each = 63 // bits
+    for at in range(0, least, each):
         key = np.zeros(len(starts), np.int64)
-        for i in range(at, min(at + 3, least)):
-            key = (key << 21) | words[starts + i]
+        for i in range(at, min(at + each, least)):
+            key = (key << bits) | words[starts + i]
         keys.append(key)
     return keys
 
@@ -89,11 +90,12 @@ def search_shard(texts: list[str | None], held: HeldOut) -> tuple[np.ndarray, np
     starts = np.flatnonzero((words > 0) & (left >= least))
     if not len(starts):
         return none
-    keys = _packed(words, starts, least)
+    bits = int(len(held.vocabulary)).bit_length()  # the numbers 0 to len(vocabulary) fit
+    keys = _packed(words, starts, least, bits)
     order = np.lexsort(keys[::-1])
     starts, keys = starts[order], [k[order] for k in keys]
     own = np.searchsorted(held.vocabulary, held.words) + 1
-    wanted = _packed(own, held.starts, least)
+    wanted = _packed(own, held.starts, least, bits)
     low, high = _bound(keys, wanted, False), _bound(keys, wanted, True)
     hit = np.flatnonzero(high > low)
     best: list[np.ndarray] = []

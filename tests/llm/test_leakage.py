@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from tamis.functions.words import words
 from tamis.llm import leakage
-from tamis.llm.leakage import leaked_passages
+from tamis.llm.leakage import _packed, leaked_passages
 
 
 def _runs(text, n):
@@ -51,3 +52,14 @@ def test_blocks_of_items_and_nothing(spark, monkeypatch):
     assert {tuple(r) for r in leaked_passages(d, "k", "t", i, "i", ["a", "b"], 4).collect()} == whole
     assert leaked_passages(d.limit(0), "k", "t", i, "i", ["a", "b"]).count() == 0
     assert leaked_passages(d, "k", "t", i.limit(0), "i", ["a", "b"]).count() == 0
+
+
+def test_keys_of_large_vocabularies_do_not_overlap():
+    """Word numbers of any width keep suffixes apart: keys are equal only where all words are."""
+    for top in (3, (1 << 21) + 5, (1 << 31) + 7):
+        bits = top.bit_length()
+        words = np.array([1, top, 0, top - 1, 1, top, 0, top - 1, top, 1, 0, 0, 2, 3, 1], np.int64)
+        starts = np.arange(6)
+        keys = np.stack(_packed(words, starts, 10, bits), axis=1)
+        want = [tuple(words[s : s + 10]) for s in starts]
+        assert all((keys[i].tolist() == keys[j].tolist()) == (want[i] == want[j]) and (tuple(keys[i]) < tuple(keys[j])) == (want[i] < want[j]) for i in range(6) for j in range(6))

@@ -14,7 +14,7 @@ def rate(flag: Column) -> Column:
 
 
 def nearest_rank(column: str, q: float) -> Column:
-    """The value at position ceil(n q) in order (AGG6)."""
+    """The value at position ceil(n q) in order (AGG6); for groups whose different values fit a task, else nearest_ranks()."""
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
@@ -53,20 +53,43 @@ def length_batches(df: DataFrame, length: str, size: int, *order: str, by_length
     return ranked(df, keys).withColumn("batch", F.floor((F.col("position") - 1) / size))
 
 
-def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Adds position, 1 for the first row in a total order, without bringing all rows to one task.
+def cumulated(df: DataFrame, keys: list[Column], weight: Column) -> DataFrame:
+    """Adds upto, the running sum of the weights in a total order, without bringing all rows to one task.
 
-    Rows are range-partitioned by the order; each partition numbers its own and adds the counts of those before it. The
-    numbered parts are written once, since a range partitioning computed twice need not cut at the same places.
+    Rows are range-partitioned by the order; each partition sums its own and adds the sums of those before it. The
+    summed parts are written once, since a range partitioning computed twice need not cut at the same places.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    d = df.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    d = df.select("*", weight.alias("_w"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
     d = d.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*names)))
+    d = d.withColumn("_i", F.sum("_w").over(Window.partitionBy("_p").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)))
     d = materialize(d, "ranked")
-    counts = d.groupBy("_p").agg(F.count("*").alias("_c"))
+    counts = d.groupBy("_p").agg(F.sum("_w").alias("_c"))  # a row a partition
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(before.select("_p", "_before"), "_p").withColumn("position", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before", *names)
+    return d.join(before.select("_p", "_before"), "_p").withColumn("upto", F.col("_i") + F.col("_before")).drop("_p", "_i", "_w", "_before", *names)
+
+
+def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Adds position, 1 for the first row in a total order."""
+    return cumulated(df, keys, F.lit(1).cast("bigint")).withColumnRenamed("upto", "position")
+
+
+def ranked_within(df: DataFrame, by: list[str], keys: list[Column]) -> DataFrame:
+    """Adds place, 1 for the first row of each group in a total order; a group of any size is spread over many tasks."""
+    d = ranked(df, [*map(F.col, by), *keys])
+    first = d.groupBy(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by))).agg(F.min("position").alias("_first"))
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    return d.join(first, same).withColumn("place", F.col("position") - F.col("_first") + 1).drop("position", "_first", *(f"_b{i}" for i in range(len(by))))
+
+
+def nearest_ranks(df: DataFrame, by: list[str], column: str, ranks: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of groups of any size (AGG6): values are counted, and the counts summed in order."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    d = cumulated(counts, [*map(F.col, by), F.col("_v")], F.col("_n"))
+    whole = d.groupBy(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by))).agg(F.min(F.col("upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("_all"))
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    reached = lambda q: F.col("upto") - F.col("_before") >= F.ceil(F.col("_all") * q)
+    return d.join(whole, same).groupBy(*by).agg(*(F.min(F.when(reached(q), F.col("_v"))).alias(n) for n, q in ranks.items()))
 
 
 def padding(batched: DataFrame, length: str) -> DataFrame:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.metrics import ranked, ranked_within
+
+FEW = 1000  # below this Spark limits windows by rank before the shuffle
+
 
 def hash_order(seed: int | str, key: str) -> Column:
     """A reproducible random order (Q7)."""
@@ -55,9 +59,18 @@ def halves(targets: DataFrame, key: str, target: str, levels: tuple[str, str]) -
 
 
 def capped(df: DataFrame, by: list[str], quota: DataFrame, *order: str | Column) -> DataFrame:
-    """The first rows of each group up to its quota (WIN4); quota: by, quota."""
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.join(quota, by).where("_n <= quota").drop("_n", "quota")
+    """The first rows of each group up to its quota (WIN4); quota: by, quota.
+
+    Small quotas are met by a window whose limit Spark applies in each partition before it shuffles; beyond FEW the rows
+    are numbered over range partitions, so that no group is sorted in one task.
+    """
+    most = quota.agg(F.max("quota")).first()[0] or 0
+    wanted = df.join(quota, by)
+    if most < FEW:
+        placed = wanted.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    else:
+        placed = ranked_within(wanted, by, [F.col(o) if isinstance(o, str) else o for o in order])
+    return placed.where("place <= quota").drop("place", "quota")
 
 
 def nested_subsets(records: DataFrame, strata: list[str], key: str, percents: list[int], seed: int) -> DataFrame:
@@ -76,8 +89,8 @@ def nested_subsets(records: DataFrame, strata: list[str], key: str, percents: li
         rank = F.row_number().over(every.orderBy((expected - F.col("_b")).desc(), F.col("_tie").desc()))
         rest = F.floor(F.col("_total") * p / 100) - F.sum("_b").over(every)
         plan = plan.withColumn("_r", rank).withColumn("_rest", rest).withColumn(f"q{i}", F.least("n", F.col("_b") + (F.col("_r") <= F.col("_rest")).cast("bigint")))
-    ranked = records.withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key)))
-    joined = ranked.join(plan.select(*strata, *(f"q{i}" for i in range(1, len(percents) + 1))), strata)
+    placed = ranked_within(records, strata, [hash_order(seed, key), F.col(key)]).withColumnRenamed("place", "_n")
+    joined = placed.join(plan.select(*strata, *(f"q{i}" for i in range(1, len(percents) + 1))), strata)
     first = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(percents, 1))):
         first = F.when(F.col("_n") <= F.col(f"q{i}"), F.lit(p)).otherwise(first)
@@ -107,7 +120,9 @@ def water_filling(supply: dict[str, int], weights: dict[str, float], target: int
 
 def chunks(df: DataFrame, size: int, *order: str, by: list[str] | None = None) -> DataFrame:
     """Adds chunk, by position (WIN8)."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)
+    if not by:
+        return ranked(df, [F.col(o) for o in order]).withColumn("chunk", F.floor((F.col("position") - 1) / size)).drop("position")
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.sqltext import number_list
+from tamis.operators.metrics import ranked
 
 
 class ContractError(ValueError):
@@ -83,8 +84,8 @@ def paired_by_id(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """Rows joined by position in two orders (JN6). One task numbers each side: keep it for bounded tables."""
-    number = lambda df, o: df.withColumn("ordinal", F.row_number().over(Window.orderBy(*o)) - 1)
+    """Rows joined by position in two orders (JN6); the positions come from range partitions."""
+    number = lambda df, o: ranked(df, [F.col(c) for c in o]).withColumn("ordinal", F.col("position") - 1).drop("position")
     return number(left, left_order).join(number(right, right_order), "ordinal")
 
 
@@ -139,11 +140,12 @@ def merged_rounds(rounds: list[DataFrame], key: str, value: str) -> DataFrame:
 def greedy_accept(df: DataFrame, key: Column, long_enough: Column, valid: Column, error: Column, *order: str) -> DataFrame:
     """Adds reason: null for the first valid row of each key, its own error before it, 'duplicate' after it (WIN2)."""
     d = df.withColumn("_k", key).withColumn("_long", long_enough).withColumn("_ok", valid & long_enough)
-    first = F.min(F.when(F.col("_ok"), F.struct(*order))).over(Window.partitionBy("_k"))
-    d = d.withColumn("_first", first)
+    # the first valid order of each key is a small aggregate, so rows of a frequent key needn't meet in one task
+    first = d.where("_ok").groupBy(F.col("_k").alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    d = d.join(first, F.col("_k").eqNullSafe(F.col("_key")), "left")
     here = F.struct(*order)
     reason = F.when(~F.col("_long"), "too_short").when(here > F.col("_first"), "duplicate").when(~F.col("_ok"), error)
-    return d.withColumn("reason", reason).drop("_k", "_long", "_ok", "_first")
+    return d.withColumn("reason", reason).drop("_k", "_long", "_ok", "_first", "_key")
 
 
 def two_key_accept(df: DataFrame, group: str, first: Column, second: Column, order: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ shared("agg05_rounded_means", "SELECT event_type, round(avg(value), 2) AS mean F
 
 @query("agg06_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def agg06_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(M.nearest_rank("value", 0.5).alias("p50"), M.nearest_rank("value", 0.95).alias("p95"))
+    return M.nearest_ranks(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("agg07_lower_rank_p95", "SELECT source, list_sort(list(n_chars))[greatest(1, floor(count(*) * 0.95)::INT)] AS p95 FROM documents GROUP BY source")

@@ -229,7 +229,7 @@ def jn03_paired_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 shared("jn05_composite_key", "SELECT r.rec_id, s.target_quota FROM d_retry_corrected r JOIN seed_plan s ON r.db_id = s.db_id AND r.schema = s.schema")
 
 
-@query("jn06_zip", "WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS ordinal FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal FROM supplier) SELECT ordinal::INT AS ordinal, n_name, s_name FROM a JOIN b USING (ordinal)")
+@query("jn06_zip", "WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS ordinal FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal FROM supplier) SELECT ordinal, n_name, s_name FROM a JOIN b USING (ordinal)")
 def jn06_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.zipped(table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), ["n_name"], ["s_suppkey"]).select("ordinal", "n_name", "s_name")
 

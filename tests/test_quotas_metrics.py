@@ -81,3 +81,26 @@ def test_rates_of_nothing(spark):
     assert empty.agg(M.rate(F.col("ok")).alias("r")).first()["r"] == 0
     total = M.by_group_with_total(spark.createDataFrame([(True, None), (None, "x")], "ok boolean, g string"), "g", {"ok": F.col("ok")})
     assert {r["g"]: (r["n"], r["ok"]) for r in total.collect()} == {"": (1, 1), "x": (1, 0), "total": (2, 1)}
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rows = [("a" if i % 3 else None, i * 7919 % 1009, i) for i in range(900)] + [("b", None, 1000), ("b", 4, 1001)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+    got = {r["k"]: r["place"] for r in M.ranked_within(df, ["g"], [F.col("v"), F.col("k")]).collect()}
+    for g in (None, "a", "b"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[k] for _, _, k in order] == list(range(1, len(order) + 1))
+    ranks = {r["g"]: (r["p50"], r["p95"], r["p100"]) for r in M.nearest_ranks(df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for g in (None, "a", "b"):
+        v = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+        assert ranks[g] == tuple(v[max(0, math.ceil(len(v) * q) - 1)] for q in (0.5, 0.95, 1.0))
+    assert M.nearest_ranks(df.limit(0), ["g"], "v", {"p50": 0.5}).count() == 0
+
+
+def test_capped_by_window_and_by_range(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "IF(id % 10 = 0, 'x', IF(id % 10 = 1, 'z', 'y')) AS g")
+    quota = spark.createDataFrame([("x", 40), ("y", 900), ("w", 5)], "g string, quota int")
+    few = {r["id"] for r in Q.capped(df, ["g"], quota, Q.hash_order(1, "id"), "id").collect()}
+    monkeypatch.setattr(Q, "FEW", 1)
+    assert {r["id"] for r in Q.capped(df, ["g"], quota, Q.hash_order(1, "id"), "id").collect()} == few and len(few) == 940
+    assert Q.chunks(df, 100, "id").groupBy("chunk").count().where("count = 100").count() == 30

@@ -29,6 +29,7 @@ from tamis.session import materialize
 
 MAX_TARGETS = 10_000
 SALTS = 16
+BUCKET_BITS = 12
 HEADROOM = 2
 
 
@@ -76,7 +77,21 @@ def reservoirs(records: DataFrame, targets: DataFrame, categories: list[str], id
     keep, schema = _keep("quota"), rows.schema
     part = rows.mapInArrow(keep, schema)  # one reservoir a target in each partition, of bounded size
     salted = part.repartition("target", F.pmod("h", F.lit(SALTS))).mapInArrow(keep, schema)
-    return salted.repartition("target").mapInArrow(keep, schema)
+    return smallest(salted, "quota")
+
+
+def smallest(rows: DataFrame, most: str) -> DataFrame:
+    """The rows of smallest (h, who) of each target, as many as the column most tells; h spreads evenly.
+
+    Rows are counted by 2^BUCKET_BITS ranges of h; whole ranges are taken until the one in which the number is reached, and only
+    that range's rows are put in order, so no task holds a target's reservoir.
+    """
+    d = materialize(rows.withColumn("range", F.shiftright("h", 64 - BUCKET_BITS)), "parts")
+    counts = d.groupBy("target", "range").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("target").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 2^BUCKET_BITS rows a target
+    told = d.join(before, ["target", "range"]).where(F.col("before") < F.col(most))
+    inside = F.row_number().over(Window.partitionBy("target", "range").orderBy("h", "who"))
+    return told.withColumn("inside", inside).where(F.col("before") + F.col("inside") <= F.col(most)).select(*rows.columns)
 
 
 def quotas(targets: DataFrame, size: int) -> DataFrame:
@@ -126,8 +141,7 @@ def proportional_sample(records: DataFrame, targets: DataFrame, categories: list
             break
         capacity = {t: max(c, HEADROOM * feasible[t] + 1) for t, c in capacity.items()}
     drawn = spark.createDataFrame(list(feasible.items()), f"target {dict(targets.dtypes)['target']}, drawn bigint")
-    place = F.row_number().over(Window.partitionBy("target").orderBy("h", "who"))
-    sample = held.withColumn("place", place).join(F.broadcast(drawn), "target").where("place <= drawn").select("target", "h", "who", "rec")
+    sample = smallest(held.join(F.broadcast(drawn), "target"), "drawn").select("target", "h", "who", "rec")
     achieved = F.col("drawn") / F.lit(max(1, sum(feasible.values())))
     return sample, targets.join(drawn, "target").select("target", "target_share", "quota", "drawn", achieved.alias("achieved_share"))
 

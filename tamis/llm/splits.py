@@ -112,7 +112,7 @@ def deal_groups(sizes: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
 
 def split_records(records: DataFrame, entity: str, question: str, shares: list[tuple[str, float]]) -> DataFrame:
     """The records with group_db and split."""
-    grouped = grouped_records(records, entity, question)
+    grouped = materialize(grouped_records(records, entity, question), "grouped")  # the groups are found once
     sizes = materialize(grouped.groupBy(F.col("group_db").alias("group")).agg(F.count("*").alias("n")), "sizes")
     dealt = deal_groups(sizes, shares).withColumnRenamed("group", "_g")
     return grouped.join(dealt, F.col("group_db") == F.col("_g")).drop("_g")

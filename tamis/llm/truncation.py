@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from tamis.functions.words import plain
 from tamis.llm.statements import open_state
-from tamis.session import materialize
+from tamis.session import materialize, tidy
 
 ORDERS = (2, 4, 7, 11, 16, 24)
 MOST_BITS = 29
+SLICE = 1 << 16  # places of a bitmap made by one task
 HELD = 1 << 20
 PULL = 6.0
 LEAST_AT_LIMIT, SHARE_AT_LIMIT, NEAR = 8, 0.01, 3
@@ -169,30 +170,29 @@ _NAMES = [f"h{n}" for n in ORDERS]
 _LAST = _NAMES[-1]  # the longest context tells all shorter ones
 
 
-def _marks(bits: list[int]):
-    """The bitmaps of the final contexts of a partition, one row an order."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bitmap of SLICE places for each order and slice, from rows of order, slice and place sorted by the first two."""
+    now: tuple[int, int] | None = None
+    bits = np.zeros(SLICE >> 3, np.uint8)
 
-    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(1 << (n - 3), np.uint8) for n in bits]
-        for batch in batches:
-            for o, n in enumerate(bits):
-                places = _mark(batch.column(o).to_numpy().view(np.uint64), n)
-                np.bitwise_or.at(seen[o], places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
-        for o in range(len(bits)):
-            if seen[o].any():
-                yield pa.RecordBatch.from_arrays([pa.array([o], pa.int64()), pa.array([zlib.compress(seen[o].tobytes(), 1)])], ["block", "marks"])
+    def over() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)])], ["o", "slice", "marks"])
 
-    return marks
-
-
-def _either(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), np.uint8)
-            marks[block] = marks[block] | part if block in marks else part
-    for block, both in marks.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(both.tobytes(), 1)])], ["block", "marks"])
+        o, at, place = (batch.column(c).to_numpy() for c in ("o", "slice", "place"))
+        cuts = np.flatnonzero((o[1:] != o[:-1]) | (at[1:] != at[:-1])) + 1
+        for i, j in zip(np.append(0, cuts), np.append(cuts, len(o)), strict=True):
+            if i == j:
+                continue
+            if now != (key := (int(o[i]), int(at[i]))):
+                if now is not None:
+                    yield over()
+                now = key
+                bits[:] = 0
+            p = place[i:j]
+            np.bitwise_or.at(bits, p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
+    if now is not None:
+        yield over()
 
 
 def _learn(filters):
@@ -228,12 +228,17 @@ def context_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
 
     texts: text, copied; contexts: the hashes of the final contexts, one column an order.
     """
-    schema, spark = "block bigint, marks binary", texts.sparkSession
+    spark = texts.sparkSession
     about = contexts.agg(*(F.approx_count_distinct(c) for c in _NAMES)).first()  # these only size the bitmaps
-    bits = [min(MOST_BITS, max(12, math.ceil(math.log2(16 * max(1, n))))) for n in about]
+    bits = [min(MOST_BITS, max(SLICE.bit_length() - 1, math.ceil(math.log2(16 * max(1, n))))) for n in about]
     filters = [np.zeros(1 << (n - 3), np.uint8) for n in bits]
-    for r in contexts.mapInArrow(_marks(bits), schema).repartition("block").mapInArrow(_either, schema).toLocalIterator():  # one row an order
-        filters[r["block"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    # Every slice of a bitmap is made by one task from its own places, however many tasks hold contexts.
+    places = contexts.select(F.posexplode(F.array(*(F.shiftrightunsigned(c, 64 - n) for c, n in zip(_NAMES, bits, strict=True)))).alias("o", "p"))
+    rows = places.select("o", F.floor(F.col("p") / SLICE).alias("slice"), (F.col("p") % SLICE).alias("place"))
+    made = rows.repartition("o", "slice").sortWithinPartitions("o", "slice").mapInArrow(_slices, "o int, slice bigint, marks binary")
+    with tidy(spark):
+        for r in made.toLocalIterator():
+            filters[r["o"]][r["slice"] * (SLICE >> 3) : (r["slice"] + 1) * (SLICE >> 3)] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
     known = spark.sparkContext.broadcast(filters)
     return texts.select("text", "copied").mapInArrow(_learn(known), "o int, h bigint, n bigint, b bigint").groupBy("o", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
 

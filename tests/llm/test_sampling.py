@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tamis.llm.sampling import feasible_quotas, proportional_sample, quotas, reservoirs, target_report
+from tamis.llm import sampling
+from tamis.llm.sampling import feasible_quotas, proportional_sample, quotas, reservoirs, smallest, target_report
 
 
 def test_sample_by_brute_force(spark):
@@ -23,6 +24,16 @@ def test_sample_by_brute_force(spark):
     assert {(r["target"], r["who"]) for r in again.collect()} == {(r["target"], r["who"]) for r in got}
 
 
+def test_smallest_by_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, rng.choice([-(1 << 63), (1 << 63) - 1, rng.randrange(-(1 << 63), 1 << 63)]), f"w{i}", n) for t, n in ((1, 40), (2, 0), (3, 5000), (4, 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "target int, h bigint, who string, n int").repartition(6)
+    for bits in (1, 4, 12):
+        monkeypatch.setattr(sampling, "BUCKET_BITS", bits)
+        got = {(r["target"], r["who"]) for r in smallest(df, "n").collect()}
+        assert got == {(t, w) for k in (1, 2, 3, 4) for t, _, w, n in sorted(r for r in rows if r[0] == k)[: dict(((1, 40), (2, 0), (3, 5000), (4, 1)))[k]]}
+
+
 def test_nothing_and_hot_category(spark):
     t = quotas(spark.createDataFrame([(1, "a", 1.0, 1)], "target bigint, c string, target_share double, min_rows int"), 10)
     empty = spark.createDataFrame([], "rec bigint, who string, c string")

@@ -63,9 +63,20 @@ def shown(text: str) -> str:
     return plain(text).replace("\r", "\n")
 
 
+def _may_be_left(text: str) -> bool:
+    """Whether anything of _LEFT can stand at the end: told by the last characters, without a search."""
+    last = text[-1]
+    if last == ".":
+        return text.endswith(("...", "[.", "[.."))
+    if last.isspace() or last in ">\ufffd]\u2026[;":
+        return True
+    tail = text[-200:]
+    return "<" in tail or "&" in tail or "\\" in tail
+
+
 def stripped(text: str) -> str:
     """The text without what a transfer leaves at its end."""
-    while text and (m := _LEFT.search(text, max(0, len(text) - 200))):
+    while text and _may_be_left(text) and (m := _LEFT.search(text, max(0, len(text) - 200))):
         text = text[: m.start()]
     return text
 

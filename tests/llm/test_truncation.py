@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.llm.truncation import _NAMES, ORDERS, _ends, _final_hashes, _prefix_sums, _window_hashes, context_counts, copied_texts, cut_texts, shown, statement_end, stripped
+from tamis.llm.truncation import _LEFT, _NAMES, ORDERS, _ends, _final_hashes, _prefix_sums, _window_hashes, context_counts, copied_texts, cut_texts, shown, statement_end, stripped
 
 SAY = ["Le score passe de {n} à {n} points quand le schéma est raccourci.", "La méthode retenue compare les résultats sans tenir compte de l'ordre.", "Parmi les {n} prédictions, {n} ne commencent pas par une instruction de lecture.", "Le quota de {n} exemples par base laisse de côté les niveaux rares.", "Les doublons ont été retirés en gardant la ligne la plus récente."]
 END = ["", "", "", "\n\nTotal : {n}", "\n\n- {n} lignes gardées\n- table vérifiée", "\n\nCordialement,\nle pôle Dupont", "\n\nSELECT a FROM t WHERE b > {n};", " Et ainsi de suite...", "\n\n[fin]"]
@@ -88,3 +88,14 @@ def test_counts_are_exact_and_only_copies_are_copies(spark):
         for o, h in enumerate(_final_hashes([t])):
             context = ("\2" * max(ORDERS) + shown(t))[-ORDERS[o] :]
             assert got.get((o, int(h.view(np.int64)[0])), (0, 0)) == (n[o, context], b[o, context])
+
+
+def test_what_is_left_is_told_by_the_last_characters():
+    ends = ["", ".", "...", "....", "…", "[…]", "[...", " [", " [.", " [..", "\n", "\u00a0", "<p", "</p>", "<br>", "&", "&amp", "&amp;", "&x1", "\\", "\\u", "\\u00e", "\ufffd", "]", "a[", "1", ";", "> ", "…]", " .", "<é"]
+    rng = random.Random(4)
+    for _ in range(4000):
+        text = "mot" + "".join(rng.choice(ends + ["a", " b", "Z9"]) for _ in range(rng.randrange(5)))
+        slow = text
+        while slow and (m := _LEFT.search(slow, max(0, len(slow) - 200))):
+            slow = slow[: m.start()]
+        assert stripped(text) == slow, text

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import metrics as M
 from tamis.operators import stats as T
+from tamis.plans import text_queries
 from tamis.plans.quota_queries import _LEVEL, _level
 from tamis.plans.relational_queries import run_sql
 from tamis.session import table
@@ -92,7 +93,9 @@ def agg11_overlapping_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("category").agg(F.avg("ok").alias("accuracy"))
 
 
-@query("agg14_degeneracy_gate")
+@query("agg14_degeneracy_gate", f"""WITH c AS ({text_queries.ORACLE["agg13_concentration"]}), s AS (SELECT same_table FROM ({text_queries.ORACLE["fn12_same_table_subquery"]})),
+f AS (SELECT 100 * avg(regexp_matches(sql, '(?i)\\bjoin\\b')::INT) AS joins, 100 * avg(regexp_matches(sql, '(?is)\\(\\s*select\\b')::INT) AS nested FROM d_retry_corrected WHERE sql IS NOT NULL), t AS (SELECT 100 * avg(same_table::INT) AS same FROM s)
+SELECT rows, groups, array_to_string(list_filter([CASE WHEN 100.0 * groups / rows < 20 THEN 'few_skeletons' END, CASE WHEN top10_share > 35 THEN 'concentrated' END, CASE WHEN joins < 5 THEN 'few_joins' END, CASE WHEN nested < 2 THEN 'few_nested' END, CASE WHEN same > 3 THEN 'same_table' END], lambda x: x IS NOT NULL), ',') AS failures FROM c, f, t""")
 def agg14_degeneracy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks against the records as a training lot: thresholds over concentration and prevalence."""
     from tamis.functions.sqltext import feature_flags, same_table_unfiltered_subquery, skeleton

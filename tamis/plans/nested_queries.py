@@ -34,11 +34,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.col("_key").alias("line_id"), "custom_id", "status", "incomplete_reason", "output_no", "content_no")
 
 
-def _flat(name: str):
+def _flat(name: str, columns: tuple[str, ...] = ()):
+    """A flat table; with columns these only, null where no record has them."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = _records(spark, sf_dir)
         tables = n.tables()
-        return tables[name] if name in tables else n.root.drop("_v").limit(0)
+        found = tables[name] if name in tables else n.root.select("_key", "_id", F.lit("").alias("_parent"), F.lit(0).cast("bigint").alias("_ordinal")).limit(0)
+        if not columns:
+            return found
+        return found.select("_key", "_id", "_parent", "_ordinal", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in columns))
 
     query.__doc__ = f"The flat table {name or 'of the responses'}."
     return query
@@ -47,10 +52,10 @@ def _flat(name: str):
 QUERIES = {
     "p1_found": p1_found,
     "p1_responses": _flat(""),
-    "p1_output_items": _flat("response.body.output"),
-    "p1_content_blocks": _flat("response.body.output.content"),
-    "p1_choices": _flat("response.body.choices"),
-    "p1_choice_blocks": _flat("response.body.choices.message.content"),
+    "p1_output_items": _flat("response.body.output", ("id", "role", "status", "type")),
+    "p1_content_blocks": _flat("response.body.output.content", ("value", "text", "type")),
+    "p1_choices": _flat("response.body.choices", ("finish_reason", "index", "message_role")),
+    "p1_choice_blocks": _flat("response.body.choices.message.content", ("value", "text", "type")),
 }
 
 _BODY = """WITH j AS (SELECT line_id, raw::JSON AS r FROM batch_responses WHERE json_valid(raw)),
@@ -69,3 +74,23 @@ c AS (SELECT * EXCLUDE (items), CASE WHEN output_no < 0 THEN NULL ELSE coalesce(
 d AS (SELECT * EXCLUDE (content), CASE WHEN content IS NULL OR json_type(content) = 'NULL' THEN 0 WHEN json_type(content) = 'ARRAY' THEN json_array_length(content) ELSE 1 END AS n FROM c)
 SELECT line_id, custom_id, status, incomplete_reason, output_no::BIGINT AS output_no, unnest(CASE WHEN n = 0 THEN [-1] ELSE range(n::BIGINT)::BIGINT[] END)::BIGINT AS content_no FROM d""",
 }
+
+
+def _children(at: str, below: str = "") -> str:
+    """The rows of a list of the body, or of a list below each of its elements, a lone value counting as a list of one."""
+    listed = lambda x: f"CASE WHEN ({x}) IS NULL OR json_type({x}) = 'NULL' THEN []::JSON[] WHEN json_type({x}) = 'ARRAY' THEN ({x})::JSON[] ELSE [({x})] END"
+    rows = f"i AS (SELECT _key, _key || '/response/body/{at}:' || (o - 1) AS _id, _key::VARCHAR AS _parent, (o - 1)::BIGINT AS _ordinal, l[o] AS v FROM (SELECT _key, l, unnest(range(1, len(l) + 1)) AS o FROM (SELECT line_id AS _key, {listed(f'body->{chr(39)}$.{at}{chr(39)}')} AS l FROM b)))"
+    if not below:
+        return _BODY + rows
+    inner = listed(f"v->'$.{below}'")
+    return _BODY + rows + f", c AS (SELECT _key, _id || '/{below.replace('.', '/')}:' || (o - 1) AS _id, _id AS _parent, (o - 1)::BIGINT AS _ordinal, l[o] AS v FROM (SELECT _key, _id, l, unnest(range(1, len(l) + 1)) AS o FROM (SELECT _key, _id, {inner} AS l FROM i)))"
+
+
+_KEYS = " SELECT _key, _id, _parent, _ordinal, "
+_BLOCK = "CASE WHEN json_type(v) = 'VARCHAR' THEN v->>'$' END AS value, v->>'$.text' AS text, v->>'$.type' AS type FROM c"
+ORACLE |= {
+    "p1_output_items": _children("output") + _KEYS + "v->>'$.id' AS id, v->>'$.role' AS role, v->>'$.status' AS status, v->>'$.type' AS type FROM i",
+    "p1_content_blocks": _children("output", "content") + _KEYS + _BLOCK,
+    "p1_choices": _children("choices") + _KEYS + "v->>'$.finish_reason' AS finish_reason, v->>'$.index' AS \"index\", v->>'$.message.role' AS message_role FROM i",
+    "p1_choice_blocks": _children("choices", "message.content") + _KEYS + _BLOCK,
+}

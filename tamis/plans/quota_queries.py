@@ -207,6 +207,11 @@ def srt02_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "seed_plan").select("db_id", "target_quota"), [F.col("db_id")]).withColumnRenamed("position", "place")
 
 
-shared("srt03_length_order", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30")
+@query("srt03_length_order", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+def srt03_length_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, the longest first."""
+    return ranked(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [-F.col("n_chars"), F.col("doc_id")]).withColumnRenamed("position", "place")
+
+
 shared("srt04_prefix", "SELECT rec_id, id FROM d_retry_corrected ORDER BY rec_id LIMIT 10")
 shared("srt06_bounded_fetch", "SELECT count(*) AS n FROM (SELECT 1 AS x FROM lineitem WHERE l_quantity > 10 LIMIT 1000) t")

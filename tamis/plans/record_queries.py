@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tamis.functions.sqltext import question_key
 from tamis.operators import records as R
+from tamis.operators.metrics import ranked
 from tamis.plans.relational_queries import run_sql
+from tamis.plans.text_queries import numbers_sql
 from tamis.session import table
 
 QUERIES: dict = {}
@@ -141,9 +143,13 @@ def flt01_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recs(spark, sf_dir).select("rec_id", F.array_join(R.missing_fields(["db_id", "hardness", "sql"]), ",").alias("missing"))
 
 
-@query("flt02_question_checks")
+_ISSUES = f"""list_filter([CASE WHEN {numbers_sql('question_originale')} <> {numbers_sql('question')} THEN 'numbers' END, CASE WHEN len(regexp_extract_all(question_originale, '%')) <> len(regexp_extract_all(coalesce(question, ''), '%')) THEN 'percents' END,
+CASE WHEN regexp_matches(strip_accents(coalesce(question, '')), '(?i)\\b(SELECT|FROM|WHERE|JOIN|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\\b') THEN 'holds_sql' END, CASE WHEN trim(coalesce(question, '')) <> '' AND NOT regexp_matches(question, '[A-Za-zÀ-ÖØ-öø-ÿ]') THEN 'no_letter' END], lambda x: x IS NOT NULL)"""
+
+
+@query("flt02_question_checks", f"SELECT rec_id, CASE WHEN len(i) = 0 THEN 'pass' ELSE 'fail' END AS status, array_to_string(i, ',') AS issues FROM (SELECT rec_id, {_ISSUES} AS i FROM d_retry_corrected WHERE question_originale IS NOT NULL)")
 def flt02_question_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of each corrected question against the original; numbers need look-around, so no check in SQL."""
+    """Issues of each corrected question against the original."""
     d = _recs(spark, sf_dir).where("question_originale IS NOT NULL")
     issues = R.question_issues(F.col("question_originale"), F.col("question"))
     return d.select("rec_id", F.when(F.size(issues) == 0, "pass").otherwise("fail").alias("status"), F.array_join(issues, ",").alias("issues"))
@@ -214,10 +220,12 @@ def flt12_numeric_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 shared("jn01_inner_by_id", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
 
 
-@query("jn02_upsert", "SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(b.question, a.question) AS question FROM (SELECT item_id, question FROM heldout_items WHERE item_id % 3 <> 0) a FULL JOIN (SELECT item_id, 'fixed ' || item_id AS question FROM heldout_items WHERE item_id % 2 = 0) b ON a.item_id = b.item_id")
+@query("jn02_upsert", "SELECT db_id, coalesce(s.description, c.description) AS description FROM (SELECT db_id, description FROM db_catalogue WHERE description IS NOT NULL) c FULL JOIN (SELECT db_id, 'quota ' || target_quota AS description FROM seed_plan WHERE target_quota IS NOT NULL) s USING (db_id)")
 def jn02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "heldout_items")
-    return R.upsert(items.where("item_id % 3 <> 0"), items.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("fixed "), "item_id").alias("question")), "item_id", ["question"])
+    """Descriptions told by the plan on top of the catalogue's; either side lacks some."""
+    base = table(spark, sf_dir, "db_catalogue").where("description IS NOT NULL")
+    planned = table(spark, sf_dir, "seed_plan").where("target_quota IS NOT NULL").select("db_id", F.concat(F.lit("quota "), "target_quota").alias("description"))
+    return R.upsert(base, planned, "db_id", ["description"])
 
 
 @query("jn03_paired_by_id", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
@@ -252,18 +260,19 @@ def jn10_failed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("custom_id", F.when(F.col("status").isNull(), "absent").when(F.col("status") != 200, "failed").otherwise("ok").alias("outcome"))
 
 
-@query("jn11_id_differences", "SELECT count(*) FILTER (b.id IS NULL) AS missing, count(*) FILTER (a.id IS NULL) AS extra FROM (SELECT DISTINCT id FROM d_retry_corrected WHERE rec_id % 5 <> 0) a FULL JOIN (SELECT DISTINCT id FROM d_retry_corrected WHERE rec_id % 7 <> 0) b ON a.id = b.id")
+@query("jn11_id_differences", "SELECT count(*) FILTER (b.id IS NULL) AS missing, count(*) FILTER (a.id IS NULL) AS extra FROM (SELECT DISTINCT id FROM d_retry_corrected WHERE recheck_verdict IS NOT NULL) a FULL JOIN (SELECT DISTINCT id FROM d_retry_corrected WHERE verdict IS NOT NULL) b ON a.id = b.id")
 def jn11_id_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _recs(spark, sf_dir).select("rec_id", "id")
-    return R.id_differences(d.where("rec_id % 5 <> 0"), d.where("rec_id % 7 <> 0"), "id")
+    """Re-checked records against judged ones."""
+    d = _recs(spark, sf_dir).select("id", "verdict", "recheck_verdict")
+    return R.id_differences(d.where("recheck_verdict IS NOT NULL"), d.where("verdict IS NOT NULL"), "id")
 
 
-@query("jn12_ordered_upsert", "SELECT item_id, coalesce(o.question, h.question) AS question, row_number() OVER (ORDER BY item_id) AS place FROM heldout_items h LEFT JOIN (SELECT item_id, upper(question) AS question FROM heldout_items WHERE item_id % 10 = 0) o USING (item_id)")
+@query("jn12_ordered_upsert", "SELECT rec_id, CASE WHEN correction_status IS NOT NULL THEN question ELSE coalesce(question_originale, question) END AS question, row_number() OVER (ORDER BY rec_id) AS place FROM d_retry_corrected")
 def jn12_ordered_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tamis.operators.metrics import ranked
-
-    items = table(spark, sf_dir, "heldout_items").select("item_id", "question")
-    return ranked(R.upsert(items, items.where("item_id % 10 = 0").withColumn("question", F.upper("question")), "item_id", ["question"]), [F.col("item_id")]).withColumnRenamed("position", "place")
+    """Corrected questions on top of the original ones, in order."""
+    d = _recs(spark, sf_dir).select("rec_id", "question", "question_originale", "correction_status")
+    base = d.select("rec_id", F.coalesce("question_originale", "question").alias("question"))
+    return ranked(R.upsert(base, d.where("correction_status IS NOT NULL"), "rec_id", ["question"]), [F.col("rec_id")]).withColumnRenamed("position", "place")
 
 
 @query("jn13_rounds", """WITH u AS (SELECT id, question_originale AS question, lower(verdict) AS verdict, 0 AS round FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rec_id DESC) n FROM d_retry_corrected) WHERE n = 1
@@ -369,8 +378,6 @@ def set07_append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("srt01_composite_sort", "SELECT id, rec_id, row_number() OVER (ORDER BY split_part(id, ':', 2), CAST(split_part(id, ':', 4) AS INT), id, rec_id) AS place FROM d_retry_corrected")
 def srt01_composite_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of an id in order, numbers as numbers; places are given without one task for all rows."""
-    from tamis.operators.metrics import ranked
-
     p = F.split("id", ":")
     return ranked(_recs(spark, sf_dir).select("id", "rec_id"), [p[1], p[3].cast("int"), F.col("id"), F.col("rec_id")]).withColumnRenamed("position", "place")
 

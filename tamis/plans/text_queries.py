@@ -93,7 +93,16 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec_id", (S.number_list(F.col("question")) == S.number_list(F.col("question_originale"))).alias("same_numbers"), F.array_join(S.number_list(F.col("question")), "|").alias("numbers"))
 
 
-QUERIES["fn04_number_multiset"] = _numbers  # look-around: no check in SQL, tested against brute force
+def numbers_sql(text: str) -> str:
+    """The same told without look-around: accents are taken off first, so that a word's edge is one for every letter."""
+    bare = f"replace(strip_accents(coalesce({text}, '')), 'œ', 'o')"
+    found = f"list_transform(regexp_extract_all({bare}, '(?i)\\b(?:[0-9]{{1,3}}(?:[ \\x{{00A0}}][0-9]{{3}})+|[0-9]+)(?:[.,][0-9]+)?(?:st|nd|rd|th|e|er|eme|s)?\\b'), lambda x: replace(replace(replace(regexp_replace(x, '(?i)(st|nd|rd|th|e|er|eme|s)$', ''), ',', '.'), ' ', ''), chr(160), ''))"
+    ones = [f"len(regexp_extract_all({bare}, '{p}'))" for p in (r"(?i)\b(?:plus|moins)\s+d[’\x27](?:une|un)\b", r"(?i)\b(?:more|less)\s+than\s+one\b", r"(?i)\b(?:a\s+)?single\b")]
+    return f"list_sort(list_concat({found}, list_transform(range({' + '.join(ones)}), lambda x: '1')))"
+
+
+QUERIES["fn04_number_multiset"] = _numbers
+ORACLE["fn04_number_multiset"] = f"SELECT rec_id, {numbers_sql('question')} = {numbers_sql('question_originale')} AS same_numbers, array_to_string({numbers_sql('question')}, '|') AS numbers FROM d_retry_corrected WHERE question_originale IS NOT NULL"
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ BLOCK_BITS = 16
 FAN = 64
 HOT = 4096
 HASHES, STEP = 64, 8
-KEPT = 6  # bytes of each hash kept for the candidates; word pairs that then agree only add candidates
+KEPT = 5  # bytes of each hash kept for the candidates; word pairs that then agree only add candidates
 TOLERANCE = 1e-6
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 

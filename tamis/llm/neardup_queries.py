@@ -45,3 +45,7 @@ c AS (SELECT DISTINCT a.rec_id AS rec_a, b.rec_id AS rec_b FROM x a JOIN x b ON
 SELECT rec_a, rec_b FROM c JOIN n a ON a.rec_id = rec_a JOIN n b ON b.rec_id = rec_b
 WHERE len(list_intersect(a.g, b.g)) >= 0.65 * (a.n + b.n - len(list_intersect(a.g, b.g))) - 1e-9""",
 }
+
+ORACLE["p3_classes"] = f"""WITH RECURSIVE p AS ({ORACLE["p3_found"]}), e AS (SELECT rec_a AS a, rec_b AS b FROM p UNION ALL SELECT rec_b, rec_a FROM p),
+c(a, b) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e) UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), f AS (SELECT a, min(b) AS class_id FROM c GROUP BY a), l AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT rec_id, coalesce(class_id, rec_id) AS class_id, coalesce(links, 0) AS links FROM d_retry_corrected LEFT JOIN f ON f.a = rec_id LEFT JOIN l ON l.a = rec_id"""

@@ -5,7 +5,9 @@ dealt by hash to blocks of about BLOCK pieces. Each block starts from a best fit
 improved by local search: a piece moves from an emptier to a fuller bin, or one or two pieces change places with one,
 whenever that increases the sum of squared fills, until bins become empty or nothing helps. Bins still underfull in all
 blocks are dissolved and packed again in fewer blocks, round by round, down to a single block; each round handles a
-small part of the one before, so no task ever holds more than a block.
+small part of the one before, so no task ever holds more than a block. Rounds end early once one lessens the pieces by less
+than a part SHRINK: then pieces fill no bins but their own, and what is left stays in the bins it has. The search in a
+block ends when no step helps, or after PASSES. Both are parameters; every piece is placed whatever they are.
 
 Null and empty texts have size 0 and share the first bin of their block; repeated texts and ties are placed by key;
 an empty table gives no rows. The tokenizer file is a parameter (a .tiktoken ranks file); only key and text are read.
@@ -29,6 +31,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK = 4096
 FULL = 0.995
 PASSES = 40
+SHRINK = 0.8
 
 _encoders: dict = {}
 
@@ -125,9 +128,9 @@ def _step(source: list[int], target: list[int], size: list[int], free: int) -> t
     return step
 
 
-def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+def pack(sizes: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
     some = np.flatnonzero(sizes > 0)
-    bins = improve(best_fit(sizes[some], capacity), sizes[some], capacity)
+    bins = improve(best_fit(sizes[some], capacity), sizes[some], capacity, passes)
     bins = [[int(some[i]) for i in b] for b in bins]
     nothing = np.flatnonzero(sizes == 0).tolist()
     if nothing and bins:
@@ -137,10 +140,10 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packer(capacity: int, round_: int):
+def _packer(capacity: int, round_: int, passes: int):
     def packer(pdf):
         pdf = pdf.sort_values(["key", "piece"], ignore_index=True)
-        bins = pack(pdf["tokens"].to_numpy(), capacity)
+        bins = pack(pdf["tokens"].to_numpy(), capacity, passes)
         number = np.empty(len(pdf), np.int64)
         filled = np.empty(len(pdf), np.int64)
         tokens = pdf["tokens"].to_numpy()
@@ -155,7 +158,7 @@ def _packer(capacity: int, round_: int):
     return packer
 
 
-def packed(df: DataFrame, key: str, text: str, capacity: int, path: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
+def packed(df: DataFrame, key: str, text: str, capacity: int, path: str = TOKENIZER, block: int = BLOCK, passes: int = PASSES, shrink: float = SHRINK) -> DataFrame:
     """(key, piece, first_token, tokens, bin_id) of every piece."""
     left = materialize(measured(df, key, text, capacity, path), "sizes")
     done: DataFrame | None = None
@@ -165,8 +168,8 @@ def packed(df: DataFrame, key: str, text: str, capacity: int, path: str = TOKENI
         blocks = max(1, -(-n // block))
         dealt = left.withColumn("block", F.pmod(F.xxhash64("key", "piece", F.lit(round_)), F.lit(blocks)).cast("int"))
         schema = ", ".join(f"{c} {t}" for c, t in left.dtypes) + ", bin_id string, filled bigint"
-        result = materialize(dealt.groupBy("block").applyInPandas(_packer(capacity, round_), schema), "packed")
-        last = blocks == 1 or (before is not None and n > 0.8 * before)  # or dissolving no longer lessens the pieces
+        result = materialize(dealt.groupBy("block").applyInPandas(_packer(capacity, round_, passes), schema), "packed")
+        last = blocks == 1 or (before is not None and n > shrink * before)  # or dissolving no longer lessens the pieces
         settled = result if last else result.where(F.col("filled") >= FULL * capacity)
         settled = settled.drop("filled")
         done = settled if done is None else done.unionByName(settled)

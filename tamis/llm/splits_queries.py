@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.functions.words import word_text
 from tamis.llm.records import NAMED_SQL, name_tokens_sql, params, with_database
 from tamis.llm.splits import grouped_records, question_links, spanning_forest, split_records
-from tamis.session import table
+from tamis.session import materialize, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,24 @@ def p2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest if forest is not None else spark.createDataFrame([], "u string, v string, w bigint")
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_split_report": p2_split_report, "p2_forest": p2_forest}
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: records, groups that lie in several splits, questions that do, and splits further than a point from their share."""
+    d = materialize(split_records(_records(spark, sf_dir), "db", "question", _shares(spark, sf_dir)).select("group_db", "db", word_text(F.col("question")).alias("q"), "split"), "split")
+    apart = lambda c: d.groupBy(c).agg(F.countDistinct("split").alias("n")).where("n > 1").agg(F.count("*"))
+    wanted = spark.createDataFrame(_shares(spark, sf_dir), "split string, target double")
+    total = d.agg(F.count("*").alias("total"))
+    far = wanted.join(d.groupBy("split").agg(F.count("*").alias("n")), "split", "left").crossJoin(F.broadcast(total))
+    far = far.where(F.abs(F.coalesce("n", F.lit(0)) / F.col("total") - F.col("target")) > 0.01).agg(F.count("*"))
+    one = lambda df, name: df.toDF(name)
+    questions = d.where("q != ''").groupBy("q").agg(F.countDistinct("split").alias("n")).where("n > 1").agg(F.count("*"))
+    parts = [one(apart("group_db"), "split_groups"), one(apart("db"), "split_databases"), one(questions, "split_questions"), one(far, "far_shares")]
+    out = total.withColumnRenamed("total", "records")
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))  # of one row each
+    return out
+
+
+QUERIES = {"p2_invariants": p2_invariants, "p2_found": p2_found, "p2_splits": p2_splits, "p2_split_report": p2_split_report, "p2_forest": p2_forest}
 
 ORACLE = {
     "p2_found": f"""WITH RECURSIVE c AS (SELECT {name_tokens_sql('db_id')} AS k, min(db_id) AS db FROM db_catalogue GROUP BY 1),
@@ -52,4 +70,5 @@ e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM p x JOIN p y ON x.q = y.q WHERE
 t(a, b) AS (SELECT DISTINCT db, db FROM n UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
 g AS (SELECT a, min(b) AS g FROM t GROUP BY a)
 SELECT rec_id, g AS group_db FROM n JOIN g ON n.db = g.a""",
+    "p2_invariants": "SELECT count(*) AS records, 0::BIGINT AS split_groups, 0::BIGINT AS split_databases, 0::BIGINT AS split_questions, 0::BIGINT AS far_shares FROM d_retry_corrected",
 }

@@ -62,7 +62,7 @@ def test_full_sketches_and_trees_lose_nothing(spark, monkeypatch, bits):
         monkeypatch.setattr(neardup, "KEPT", 2)
         coarse = materialize(record_nodes(df, "k", ["a", "b"]), "coarse")
         assert {(x["a"], x["b"]) for x in similar_nodes(df, coarse, "k", ["a", "b"], 0.65, bits=8).collect()} == want
-        monkeypatch.setattr(neardup, "KEPT", 6)
+        monkeypatch.setattr(neardup, "KEPT", 5)
     levels = frequency_levels(nodes, bits)
     pairs = pair_sets([[r[1] for r in rows], [r[2] for r in rows]])
     sets = {i: set(pairs[0][pairs[1] == i].tolist()) for i in range(len(rows))}

@@ -34,7 +34,10 @@ def normalize_sql(c: Column) -> Column:
 
 
 def clean_sql(c: Column) -> Column:
-    """A model's output without reasoning, fences, prefix and final semicolons, normalised; null stays null (FN2)."""
+    """A model's output without reasoning, fences, prefix and final semicolons, normalised; null stays null (FN2).
+
+    A fence's language may be sqlite or sql: the longer is tried first, a deliberate choice, so that nothing of it is left.
+    """
     t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     t = F.regexp_replace(t, r"(?isU)^\s*<think>.*?</think>\s*", "")
     t = F.regexp_replace(t, r"(?iU)^```(?:sqlite|sql)?\s*", "")
@@ -45,6 +48,7 @@ def clean_sql(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """Lexical tokens (FN3)."""
+    # Fixed value: what counts as a token decides the number.
     pattern = "(?U)'(?:''|[^'])*'|\"(?:\"\"|[^\"])*\"|`[^`]*`|\\b\\w+\\b|<=|>=|<>|!=|==|[-+*/(),.;=<>]"
     return F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
 
@@ -67,6 +71,7 @@ def question_key(c: Column) -> Column:
 
 def skeleton(c: Column) -> Column:
     """The structure without names and values (FN7)."""
+    # The patterns of values, aliases and words decide which statements share a structure.
     s = F.regexp_replace(F.regexp_replace(F.lower(c), r"[; ]+\z", ""), r"'[^']*'|\"[^\"]*\"|\b[0-9]+(?:\.[0-9]+)?\b", "V")
     s = F.regexp_replace(s, r"\bas t[0-9]\b|\bt[0-9]\.", "")
     words = F.regexp_extract_all(s, F.lit(r"[a-z_][a-z_0-9]*|[^\sa-z_]"), F.lit(0))
@@ -101,6 +106,7 @@ def feature_flags(c: Column) -> dict[str, Column]:
 
 def is_tautology(c: Column) -> Column:
     """A column that must be IN its own unfiltered table (FN11)."""
+    # Fixed value: the one form that counts as a tautology.
     p = r"(?i)from (\w+)\s+where (\w+) in \(\s*select (\w+) from (\w+)\s*\)"
     part = lambda i: F.lower(F.regexp_extract(c, p, i))
     return (part(1) != "") & (part(1) == part(4)) & (part(2) == part(3))
